@@ -106,7 +106,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = lookup(digest_groups(rows.filter(~recent)), index, shards)
     repeated = groups.filter("copies > 1").select("digest", "keep_id", "copies")
     joined = rows.join(repeated, "digest", "left")
-    once = F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.lit(1))) == 1
+    once = F.lit(True)
+    if not rows.groupBy("digest", "id").count().filter("count > 1").isEmpty():  # identical rows: dealt by both columns, else a frequent digest would fill one task
+        joined = joined.repartition("digest", "id")
+        once = F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.lit(1))) == 1
     keep = F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"),

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm import exact_dedup, topk, url_filter
+from chunkwright.llm import exact_dedup, mixing, packing, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
     "op3_exact_topk": topk.op3,
+    "op4_simhash": simhash.op4,
     "op5_url_filter": url_filter.op5,
+    "op7_mixing": mixing.op7,
+    "op9_packing": packing.op9,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
