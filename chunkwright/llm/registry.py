@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm import exact_dedup, mixing, packing, simhash, topk, url_filter
+from chunkwright.llm import bwt_dedup, exact_dedup, mixing, packing, simhash, topk, tree_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4,
     "op5_url_filter": url_filter.op5,
     "op7_mixing": mixing.op7,
+    "op8_suffix_array_dedup": bwt_dedup.op8,
     "op9_packing": packing.op9,
+    "op10_substring_dedup": tree_dedup.op10,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
