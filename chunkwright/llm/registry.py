@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm import bwt_dedup, exact_dedup, mixing, packing, simhash, topk, tree_dedup, url_filter
+from chunkwright.llm import bwt_dedup, exact_dedup, mixing, packing, quality, simhash, topk, tree_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
     "op3_exact_topk": topk.op3,
     "op4_simhash": simhash.op4,
     "op5_url_filter": url_filter.op5,
+    "op6_quality": quality.op6,
     "op7_mixing": mixing.op7,
     "op8_suffix_array_dedup": bwt_dedup.op8,
     "op9_packing": packing.op9,
