@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm import bwt_dedup, exact_dedup, mixing, packing, quality, simhash, topk, tree_dedup, url_filter
+from chunkwright.llm import bwt_dedup, exact_dedup, html_extract, mixing, packing, quality, simhash, topk, tree_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op2_html_extract": html_extract.op2,
     "op3_exact_topk": topk.op3,
     "op4_simhash": simhash.op4,
     "op5_url_filter": url_filter.op5,
