@@ -1,0 +1 @@
+"""Corpus preparation, passage chunking and retrieval evaluation on Spark."""
