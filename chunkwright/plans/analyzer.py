@@ -9,6 +9,7 @@ documents (dataset, doc_id, contents), results (exp, metrics columns).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +100,6 @@ def search(queries: DataFrame, needle: str) -> DataFrame:
 
 def scored(pairs: DataFrame, score) -> DataFrame:
     """Rows (query, text) with ``score(queries, texts) -> list`` of an injected model, by batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(score(q.tolist(), t.tolist()), dtype="float64")

@@ -92,14 +92,14 @@ def qasper(papers: DataFrame) -> Artifacts:
     """papers: ord, id, title, abstract, sections array<struct<name, paragraphs array<string>>>, captions array<string>, qas array<struct<question, question_id, answers array<struct<free, spans array<string>, yes_no, unanswerable>>>>."""
     body = F.transform("sections", lambda s: F.array_join(F.filter(F.concat(F.array(s["name"]), s["paragraphs"]), lambda x: x.isNotNull() & (T.py_strip(x) != "")), "\n"))
     text = F.array_join(F.filter(F.concat(F.array("title", "abstract"), body, F.coalesce("captions", _strings())), lambda x: x.isNotNull() & (T.py_strip(x) != "")), "\n\n")
-    rendered = papers.withColumn("contents", text)
-    q = rendered.select("ord", "id", "contents", F.posexplode("qas").alias("p", "q"))
+    rendered = papers.withColumn("body", text)
+    q = rendered.select("ord", "id", "body", F.posexplode("qas").alias("p", "q"))
     answers = F.flatten(F.transform("q.answers", lambda a: F.coalesce(a["spans"], _strings())))
     stated = F.transform("q.answers", lambda a: F.when(a["unanswerable"], "unanswerable").when(a["yes_no"].isNotNull(), F.when(a["yes_no"], "yes").otherwise("no")).otherwise(a["free"]))
     every = F.concat(answers, F.filter(stated, lambda a: a.isNotNull()))
     return (
-        documents_of(rendered, F.col("id"), F.col("contents"), F.col("ord"), title=F.col("title"), sections=F.size("sections")),
-        queries_of(q, F.col("q.question_id"), F.col("q.question"), F.array("id"), F.col("ord") * 1000 + F.col("p"), T.extractive(every, F.col("contents")), T.free(every, F.col("contents"))),
+        documents_of(rendered, F.col("id"), F.col("body"), F.col("ord"), title=F.col("title"), sections=F.size("sections")),
+        queries_of(q, F.col("q.question_id"), F.col("q.question"), F.array("id"), F.col("ord") * 1000 + F.col("p"), T.extractive(every, F.col("body")), T.free(every, F.col("body"))),
     )
 
 
@@ -128,10 +128,10 @@ def gutenqa(chunks: DataFrame, questions: DataFrame) -> Artifacts:
 def gutenqa_concat(chunks: DataFrame, questions: DataFrame) -> Artifacts:
     """As gutenqa, with the chunks of a book joined to one document."""
     books = concatenated(chunks, "book", "chunk_id", "text").join(chunks.groupBy("book").agg(F.min("ord").alias("ord")), "book")
-    joined = questions.join(books.select("book", "contents"), "book")
+    joined = questions.join(books.select("book", F.col("contents").alias("body")), "book")
     return (
         documents_of(books, F.col("book"), F.col("contents"), F.col("ord"), chunks=F.col("pieces")),
-        queries_of(joined, F.concat_ws("_q", "book", F.col("ord").cast("string")), F.col("question"), F.array("book"), F.col("ord"), T.extractive(F.array("answer", "must_contain"), F.col("contents")), F.array("answer")),
+        queries_of(joined, F.concat_ws("_q", "book", F.col("ord").cast("string")), F.col("question"), F.array("book"), F.col("ord"), T.extractive(F.array("answer", "must_contain"), F.col("body")), F.array("answer")),
     )
 
 
