@@ -16,7 +16,7 @@ UPPER = "A-ZĄĆĘŁŃÓŚŹŻ"
 SENTENCE_END = r"[.!?][\"')\]»›]?$"
 STRUCTURE_START = rf"^(#{{1,6}}\s|[-*•–]\s|\d+[.)]\s|[{UPPER}])"
 
-ABBREVIATION = rf"^(?i)({'|'.join(ABBREVIATIONS)}|{INITIAL})\.$"
+ABBREVIATION = rf"^(?iu)({'|'.join(ABBREVIATIONS)}|{INITIAL})\.$"
 
 
 def boundary_ok(current: Column, following: Column) -> Column:

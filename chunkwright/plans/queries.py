@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkwright.functions import boundary
 from chunkwright.functions import text as T
 from chunkwright.functions.vectors import cosine, unit
 from chunkwright.operators import analytics, chunkers, evaluate, prepare, relevance
@@ -445,7 +446,20 @@ def _turns(spark, d) -> DataFrame:
     return _t(spark, d, "conversations").select(F.col("conv_id").alias("parent_id"), F.col("turn").alias("passage_ord"), F.concat_ws("-", "conv_id", "turn").alias("id"), "role", F.col("text").alias("contents"))
 
 
-@query()
+_BOUNDARIES = rf"""
+WITH n AS (SELECT conv_id || '-' || turn AS id, text AS c, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations),
+e AS (SELECT id, c, coalesce(x, '') AS x, x IS NOT NULL AS more, regexp_replace(c, '\s+$', '') AS e, regexp_replace(coalesce(x, ''), '^\s+', '') AS b FROM n),
+f AS (SELECT *, regexp_matches(e, '{boundary.SENTENCE_END.replace("'", "''")}') AND NOT regexp_matches(regexp_extract(e, '(\S+)$', 1), '{boundary.ABBREVIATION.replace("(?iu)", "(?i)")}') AS sentence,
+      regexp_extract(x, '(?i)([{boundary.UPPER}0-9])', 1) AS first FROM e)
+SELECT id, CASE WHEN NOT more THEN 'end_file' WHEN CASE WHEN e = '' THEN true WHEN regexp_matches(c, '\n[ \t]*\n') OR regexp_matches(e, '#{{1,6}}[^\n]*$') THEN true
+  WHEN sentence THEN NOT regexp_matches(b, '^\p{{Ll}}')
+  WHEN regexp_matches(c, '\n[ \t]*$') AND regexp_matches(x, '^[ \t]*\n') AND regexp_matches(first, '^[{boundary.UPPER}0-9]') THEN true
+  ELSE regexp_matches(b, '{boundary.STRUCTURE_START}') END THEN 'good' ELSE 'fail' END AS label
+FROM f
+"""
+
+
+@query(_BOUNDARIES.replace("\\\\", "\\"))
 def q1_boundaries(spark, d):
     return analytics.labelled_boundaries(_turns(spark, d)).select("id", "label")
 

@@ -127,4 +127,4 @@ def test_registered_queries_have_sql_or_a_reason():
 
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     without = set(queries.QUERIES) - set(queries.ORACLES)
-    assert without <= {x for x in queries.QUERIES if x.startswith("chunker_")} | {"c12_late_chunking", "a2_accumulated_contexts", "d6_html_text", "e1_embedded", "q1_boundaries"}
+    assert without <= {x for x in queries.QUERIES if x.startswith("chunker_")} | {"c12_late_chunking", "a2_accumulated_contexts", "d6_html_text", "e1_embedded"}
