@@ -14,8 +14,9 @@ Two spans count as the same text if 128 bits of hash agree (k-gram and span).
 
 Frequent k-grams, found in a sample of the documents (which only steers how
 rows are dealt, never what is found), are dealt to many tasks.  Each task
-leaves representatives, and these go on by window: the windows of the frequent
-k-grams meet by their own hash, first dealt to many tasks again, then the
+leaves representatives.  Of a k-gram with up to ``SPANS`` of these they go on
+like all others, in one task.  Those of a k-gram with more go on by window:
+the windows meet by their own hash, first dealt to many tasks again, then the
 representatives of those.  So no task holds more than its share of a k-gram,
 however often it occurs.
 
@@ -39,6 +40,8 @@ from chunkwright.llm.runs import whole_runs
 
 #: One document in so many steers how frequent k-grams are dealt; their number is bounded.
 SAMPLE, HOT_LEAST, HOT_KEYS, SALTS = 0.02, 20, 4096, 64
+#: Different spans of one k-gram that one task takes.
+SPANS = 20_000
 _ANCHORS = "gram long, span long, row long, at long"
 _FOUND = "kind int, gram long, span long, row long, at long"
 _RANGES = "row long, first long, last long"
@@ -48,13 +51,14 @@ _A, _B = 1 << 16, 1 << 8
 
 @dataclass(frozen=True)
 class Kind:
-    """``units``: text to units; ``kernel``: spans and windows of whole groups to the windows that go."""
+    """``units``: text to units; ``kernel``: spans and windows of whole groups to the windows that go, for about ``chunk`` spans at a time."""
 
     window: int
     k: int
     by_words: bool
     keep_first: bool
     kernel: Callable
+    chunk: int = 8192
 
 
 class _WordHashes(dict):
@@ -198,7 +202,7 @@ def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def _solve(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches, ["gram"], 8192):
+        for part in whole_runs(batches, ["gram"], kind.chunk):
             at = part["at"].to_numpy()
             order = np.lexsort((at, part["row"].to_numpy()))
             texts = part["text"].to_pylist()
@@ -249,6 +253,13 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
         found = found.withColumn("hot", F.lit(False))
     settled = materialise(_dealt(found, n, True).mapInArrow(_decide(kind.keep_first, False), _FOUND), "settled")
     out = _ranges(settled.filter("kind = 0"))
+    wide = settled.filter("kind = 2").groupBy("gram").count().filter(F.col("count") > SPANS).select("gram", F.lit(True).alias("wide"))
+    by_window = not wide.isEmpty()
+    if by_window:
+        settled = settled.join(F.broadcast(wide), "gram", "left")  # at most HOT_KEYS rows
+    else:
+        settled = settled.withColumn("wide", F.lit(None).cast("boolean"))
+    settled = settled.withColumn("kind", F.when((F.col("kind") == 2) & F.col("wide").isNull(), 1).otherwise(F.col("kind")))
     texts = rows.select("row", "text")
 
     def asked(which: int) -> DataFrame:
@@ -258,7 +269,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     spans = asked(1).mapInArrow(_fetch(kind, False), "gram long, span long, row long, at long, text binary")
     solved = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_solve(kind), _RANGES)
     out = out.unionByName(solved)
-    if not settled.filter("kind = 2").isEmpty():
+    if by_window:
         windows = asked(2).mapInArrow(_fetch(kind, True), _ANCHORS).withColumn("hot", F.lit(True))
         first = materialise(_dealt(windows, n, True).mapInArrow(_decide(kind.keep_first, False), _FOUND), "settled")
         last = _dealt(first.filter("kind > 0").select("gram", "span", "row", "at"), n, False).mapInArrow(_decide(kind.keep_first, True), _FOUND)

@@ -47,11 +47,13 @@ def corpus():
     return docs(7, vocabulary=500) + [(5000 + 7 * i, t, None, None, None) for i, t in enumerate(extra)]
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", ["no", "dealt", "by window"])
 def test_op8_and_op10_equal_brute_force(spark, tables, monkeypatch, hot):
-    if hot:  # every k-gram of the sample is dealt to many tasks
+    if hot != "no":  # every k-gram of the sample is dealt to many tasks
         monkeypatch.setattr(repeats, "SAMPLE", 1.0)
         monkeypatch.setattr(repeats, "HOT_LEAST", 2)
+    if hot == "by window":
+        monkeypatch.setattr(repeats, "SPANS", 1)
     d = tables(documents=(corpus(), DOCS))
     got = {r["doc_id"]: tuple(r)[1:] for r in bwt_dedup.op8(spark, d).collect()}
     assert got == brute_bytes(corpus())
@@ -107,3 +109,4 @@ def test_kernels_equal_brute_force_on_random_spans():
 def test_empty_table(spark, tables):
     d = tables(documents=([], DOCS))
     assert bwt_dedup.op8(spark, d).collect() == [] and tree_dedup.op10(spark, d).collect() == []
+
