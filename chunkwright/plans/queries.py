@@ -459,7 +459,7 @@ FROM f
 """
 
 
-@query(_BOUNDARIES.replace("\\\\", "\\"))
+@query(_BOUNDARIES)
 def q1_boundaries(spark, d):
     return analytics.labelled_boundaries(_turns(spark, d)).select("id", "label")
 
