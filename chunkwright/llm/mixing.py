@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import WORD_PATTERN, pick, table
+from chunkwright.llm.common import WORD_PATTERN, materialise, pick, table
 from chunkwright.llm.flow import quotas, route
 
 MAX_PATTERNS, MAX_COPIES, SEED, CELL = 20_000, 3, 42, 1000
@@ -82,7 +82,8 @@ def mix(docs: DataFrame, sources: Column, size: Column, targets=None, id_col: st
     spark = docs.sparkSession
     key = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array(F.lit(None).cast("string"))), lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))))
     rows = docs.withColumns({"__key": key, "__size": size})
-    totals = [(tuple(x["__key"]), x["size"]) for x in rows.groupBy("__key").agg(F.sum("__size").alias("size")).limit(MAX_PATTERNS + 1).collect()]
+    sizes_of = materialise(rows.select("__key", "__size", _hash(seed, id_col, "__size").alias("h")), "sizes")
+    totals = [(tuple(x["__key"]), x["size"]) for x in sizes_of.groupBy("__key").agg(F.sum("__size").alias("size")).limit(MAX_PATTERNS + 1).collect()]
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
     order = sorted({s for p, _ in totals for s in p})  # by code point; "~", which stands for null, comes after "="
@@ -96,21 +97,21 @@ def mix(docs: DataFrame, sources: Column, size: Column, targets=None, id_col: st
     table_ = [(i, list(p), taken[p] // n if n else 1, [sizes[s] for s in p], [wanted[s] for s in p]) for i, (p, n) in enumerate(sorted(totals))]
     if not table_:
         return docs.withColumns({"__size": size, "__copies": F.lit(0), "__source_sizes": F.array().cast("array<bigint>"), "__targets": F.array().cast("array<double>")})
-    patterns = spark.createDataFrame(table_, "pattern int, __key array<string>, base long, __source_sizes array<long>, __targets array<double>")
+    patterns = spark.createDataFrame(table_, "__pattern int, __key array<string>, __base long, __source_sizes array<long>, __targets array<double>")
     parts = {i: taken[p] % n for i, (p, n) in enumerate(sorted(totals)) if n}
     rows = rows.join(F.broadcast(patterns), "__key").withColumn("__h", _hash(seed, id_col, "__size"))  # a row per pattern
-    small = rows.select("pattern", F.col("__h").alias("h"), F.col("__size").alias("size")).filter("size > 0")
+    small = sizes_of.join(F.broadcast(patterns), "__key").select(F.col("__pattern").alias("pattern"), "h", F.col("__size").alias("size")).filter("size > 0")
     cuts = _cuts(small, parts)
     if cuts is None:
-        return rows.withColumn("__copies", F.col("base").cast("int")).drop("__key", "__h", "base", "pattern")
+        return rows.withColumn("__copies", F.col("__base").cast("int")).drop("__key", "__h", "__base", "__pattern")
     cell = small.join(F.broadcast(cuts), "pattern").filter("h >= low AND h < high").groupBy("pattern", "part", "low", "h").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h"))
     inside = F.col("upto") - F.col("size") / 2 <= F.col("part")
     last = cell.withColumn("upto", upto).groupBy("pattern", "low").agg(F.max(F.when(inside, F.col("h"))).alias("last"))
-    last = last.select("pattern", F.coalesce("last", F.col("low") - 1).alias("last"))  # a row per pattern
-    rows = rows.join(F.broadcast(last), "pattern", "left")
-    extra = F.coalesce(F.col("__h") <= F.col("last"), F.lit(False)).cast("int")
-    return rows.withColumn("__copies", (F.col("base") + extra).cast("int")).drop("__key", "__h", "base", "pattern", "last")
+    last = last.select(F.col("pattern").alias("__pattern"), F.coalesce("last", F.col("low") - 1).alias("__last"))  # a row per pattern
+    rows = rows.join(F.broadcast(last), "__pattern", "left")
+    extra = F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False)).cast("int")
+    return rows.withColumn("__copies", (F.col("__base") + extra).cast("int")).drop("__key", "__h", "__base", "__pattern", "__last")
 
 
 def mixed_rows(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -121,6 +122,6 @@ def mixed_rows(docs: DataFrame, source_col: str = "source", text_col: str = "tex
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
-    small = docs.select("doc_id", "source", words(F.col("text")).alias("n"))
+    small = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("n")), "sizes")
     mixed = mix(small, F.array("source"), F.col("n"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.try_element_at("__source_sizes", F.lit(1)).alias("source_size"), F.try_element_at("__targets", F.lit(1)).alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
