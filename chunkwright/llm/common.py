@@ -58,6 +58,30 @@ def drop_materialised(df: DataFrame) -> None:
         return
 
 
+#: Marks that ``without`` broadcasts: at most so many rows of one number.
+MARKS = 1 << 20
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` less those whose keys occur in ``gone``; nulls are equal.
+
+    The hashes of the gone keys, folded to ``MARKS`` values, are broadcast.
+    Rows without a mark stay where they are; only the others, some of which
+    are gone, are dealt out to meet the gone keys themselves.
+    """
+    mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS)).cast("int").alias("__mark")
+    marks = gone.select(mark).distinct()
+    marked = rows.select("*", mark)
+    stay = marked.join(F.broadcast(marks), "__mark", "left_anti")
+    held = marked.join(F.broadcast(marks), "__mark", "left_semi")
+    there = gone.select(*[F.col(k).alias(f"__gone{i}") for i, k in enumerate(keys)]).distinct()
+    same = [held[k].eqNullSafe(there[f"__gone{i}"]) for i, k in enumerate(keys)]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return stay.unionByName(held.join(there, condition, "left_anti")).drop("__mark")
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, renamed: clashing extra columns go."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import materialise, pick, shuffle_partitions, table
+from chunkwright.llm.common import materialise, pick, shuffle_partitions, table, without
 from chunkwright.llm.mph import PerfectHash, as_matrix
 
 #: Distinct digests that one shard may hold on average (48 bytes each).
@@ -125,9 +125,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if not verdict.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():  # identical rows
         first = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), "__sha").orderBy(F.lit(1)))
         own = own.withColumn("__n", first).filter("__n = 1")
-    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
-    same = own[id_col].eqNullSafe(gone["__id"]) & (own["__sha"] == gone["__gone"])
-    return own.join(gone, same, "left_anti").select(*[own[c] for c in docs.columns])
+    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    return without(own.withColumn("__id", F.col(f"`{id_col}`").cast("long")), gone, ["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ therefore grouped by (segment number, value); inside a group the chain is
 checked length by length, most pairs falling out at the second segment, and
 the last length is the full Hamming check.
 
+Wide fingerprints have 128 bits: the first 64 are filtered as above, and the
+full check is on all 128 against a second budget.  Unrelated documents, of
+which some agree in 53 of 64 bits once a corpus is large, do not pass it.
+
 A group of over ``BLOCK`` fingerprints is cut into blocks by a hash, and every
 two blocks meet in a cell of their own, so no cell holds more than two blocks
 and no link is lost.  A cell emits a spanning star of each of its components,
@@ -31,77 +35,83 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import materialise, pick, shuffle_partitions, table
+from chunkwright.llm.common import materialise, pick, shuffle_partitions, table, without
 from chunkwright.llm.components import components
 from chunkwright.llm.runs import whole_runs
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that meet in one cell: at most two blocks.
 BLOCK = 4096
-#: For the corpus stage: five words, and the distance that a similarity of at least 0.8 keeps on the safe side.
-STAGE_SHINGLE, STAGE_DISTANCE = 5, 7
+#: For the corpus stage: five words, bits that may differ of the first 64 and of all 128.  Of the pairs with a
+#: Jaccard similarity of 0.8 or more these budgets find about nine in ten (README).
+STAGE_SHINGLE, STAGE_DISTANCE, STAGE_TOTAL = 5, 11, 24
 
 
-def shingle_hashes(text: bytes, n: int, seed: int = SEED) -> list[int]:
+def shingles(text: bytes, n: int) -> list[bytes]:
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return []
     joined = b" ".join(words)
     if len(words) <= n:
-        return [xxhash.xxh64_intdigest(joined, seed)]
+        return [joined]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-n]]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], seed) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
+    return [joined[a:b] for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
+
 
+def _hashes(found: list[bytes], wide: bool) -> np.ndarray:
+    """A row of bytes, lowest first, for each shingle."""
+    if wide:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint8).reshape(-1, 16)
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in found]), np.uint8).reshape(-1, 8)[:, ::-1]
 
-def fingerprints(texts: list[bytes], n: int, seed: int = SEED) -> np.ndarray:
-    """Unsigned 64-bit fingerprints, a bit set where over half the shingles' hashes set it."""
-    out = np.zeros(len(texts), np.uint64)
-    hashes: list[int] = []
-    at: list[tuple[int, int]] = []
+
+def fingerprints(texts: list[bytes], n: int, wide: bool = False) -> np.ndarray:
+    """Unsigned fingerprints (a column of 64 bits, or two), a bit set where over half the shingles' hashes set it."""
+    out = np.zeros((len(texts), 2 if wide else 1), np.uint64)
+    hashes: list[np.ndarray] = []
+    at: list[int] = []
+    held = 0
 
     def flush():
         if at:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            starts = np.array([x for _, x in at])
-            counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-            total = np.diff(np.append(starts, len(hashes)))
-            packed = np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-            out[[i for i, _ in at]] = packed
+            bits = np.unpackbits(np.concatenate(hashes), axis=1, bitorder="little")
+            total = np.array([len(x) for x in hashes])
+            counts = np.add.reduceat(bits, np.cumsum(total) - total, axis=0, dtype=np.int64)
+            out[at] = np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view("<u8")
             hashes.clear()
             at.clear()
 
     for i, text in enumerate(texts):
-        found = shingle_hashes(text, n, seed)
+        found = shingles(text, n)
         if len(found) > 400_000:  # a very long text: counted in parts
-            counts = np.zeros(64, np.int64)
-            for k in range(0, len(found), 400_000):
-                counts += np.unpackbits(np.array(found[k : k + 400_000], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0]
+            counts = sum(np.unpackbits(_hashes(found[k : k + 400_000], wide), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(found), 400_000))
+            out[i] = np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
         elif found:
-            at.append((i, len(hashes)))
-            hashes += found
-            if len(hashes) > 200_000:
+            at.append(i)
+            hashes.append(_hashes(found, wide))
+            held += len(found)
+            if held > 100_000:
                 flush()
+                held = 0
     flush()
     return out
 
 
-def _fingerprint(n: int):
+def _fingerprint(n: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fp = fingerprints([x or b"" for x in texts], n)
-            yield pa.record_batch([batch.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = fingerprints([x or b"" for x in texts], n, wide).view(np.int64)
+            yield pa.record_batch([batch.column("id"), pa.array(fp[:, 0]), pa.array(fp[:, -1] if wide else np.zeros(len(fp), np.int64))], names=["id", "fp", "more"])
 
     return run
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (the 64 bits as a signed long) of every row."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """id, fp and more (the first and, if wide, the second 64 bits as signed longs) of every row."""
     rows = pick(docs, id=id_col, text=text_col)
-    return rows.select(rows["id"].cast("long").alias("id"), "text").mapInArrow(_fingerprint(shingle), "id long, fp long")
+    return rows.select(rows["id"].cast("long").alias("id"), "text").mapInArrow(_fingerprint(shingle, wide), "id long, fp long, more long")
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -110,7 +120,7 @@ def segments(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def ring_links(fp: np.ndarray, group: np.ndarray, first: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def ring_links(fp: np.ndarray, more: np.ndarray, group: np.ndarray, first: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs inside runs of equal ``group``; ``first``: the segment that a run agrees in."""
     parts = segments(distance + 1)
     masks = np.array([((1 << w) - 1) << s for s, w in parts], np.uint64)
@@ -132,6 +142,9 @@ def ring_links(fp: np.ndarray, group: np.ndarray, first: np.ndarray, distance: i
             x, at, start = x[ok], at[ok], start[ok]
             if not len(at):
                 break
+        if total < 128 and len(at):
+            ok = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(more[at] ^ more[at + step]) <= total
+            at = at[ok]
         left.append(at)
         right.append(at + step)
         step += 1
@@ -152,61 +165,67 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _cells(distance: int):
+def _cells(distance: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches, ["segment", "value", "cell"], 20_000):
-            fp = part["fp"].to_numpy().view(np.uint64)
+            fp, more, node = part["fp"].to_numpy().view(np.uint64), part["more"].to_numpy().view(np.uint64), part["node"].to_numpy()
             seg = part["segment"].to_numpy()
             key = np.stack([seg.astype(np.int64), part["value"].to_numpy(), part["cell"].to_numpy()])
             group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
-            a, b = ring_links(fp, group, seg.astype(np.int64), distance)
+            a, b = ring_links(fp, more, group, seg.astype(np.int64), distance, total)
             if len(a):
                 root = local_roots(len(fp), a, b)
                 at = np.flatnonzero(root != np.arange(len(fp)))
-                yield pa.record_batch([pa.array(fp[at].view(np.int64)), pa.array(fp[root[at]].view(np.int64))], names=["u", "v"])
+                yield pa.record_batch([pa.array(node[at]), pa.array(node[root[at]])], names=["u", "v"])
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """u, v: links that join all fingerprints of at most ``distance`` differing bits into their components."""
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK, total: int = 128) -> DataFrame:
+    """u, v: links that join all fingerprints (node, fp, more) within the budgets into their components."""
     parts = segments(distance + 1)
     spans = F.array(*[F.struct(F.lit(i).alias("segment"), F.expr(f"shiftrightunsigned(fp, {s}) & {(1 << w) - 1}L").alias("value")) for i, (s, w) in enumerate(parts)])
-    keyed = distinct.select("fp", F.inline(spans))
+    keyed = distinct.select("node", "fp", "more", F.inline(spans))
     large = keyed.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("segment", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     sized = keyed.join(large, ["segment", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other))
     #: a block meets itself in the cell with the next, so only a lone block has a cell (0, 0)
     cells = F.filter(cells, lambda c: (F.col("blocks") == 1) | (c % F.col("blocks") != F.floor(c / F.col("blocks"))))
-    cut = sized.select("fp", "segment", "value", F.explode(cells).alias("cell"))
+    cut = sized.select("node", "fp", "more", "segment", "value", F.explode(cells).alias("cell"))
     n = 2 * shuffle_partitions(distinct.sparkSession)
     placed = cut.repartition(n, "segment", "value", "cell").sortWithinPartitions("segment", "value", "cell", "fp")
-    return placed.mapInArrow(_cells(distance), "u long, v long")
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """id, fp, component_id (the smallest id reachable) of every row."""
-    rows = materialise(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct, distance, block))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("id", "fp", "component_id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE) -> DataFrame:
+    return placed.mapInArrow(_cells(distance, total), "u long, v long")
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK, total: int | None = None
+) -> DataFrame:
+    """id, fp, component_id (the smallest id reachable) of every row; with ``total`` by wide fingerprints."""
+    wide = total is not None
+    node = F.xxhash64("fp", "more") if wide else F.col("fp")
+    rows = materialise(fingerprint_table(docs, id_col, text_col, shingle, wide).withColumn("node", node), "fingerprints")
+    distinct = materialise(rows.groupBy("node", "fp", "more").agg(F.min("id").alias("least")), "distinct")
+    roots = components(fingerprint_links(distinct, distance, block, total if wide else 128)).withColumnRenamed("node", "member")
+    rooted = distinct.join(roots, distinct["node"] == roots["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # read again, so that Spark may split a large class in the join
+    of_node = rooted.join(least, "root").select("node", "component_id")
+    return rows.join(of_node, "node").select("id", "fp", "component_id")
+
+
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int | None = STAGE_TOTAL
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each class the row with the smallest id, once."""
-    classes = materialise(near_classes(docs, id_col, text_col, shingle, distance), "classes")
+    classes = materialise(near_classes(docs, id_col, text_col, shingle, distance, total=total), "classes")
     first = classes.filter(F.col("id").eqNullSafe(F.col("component_id")))
     if first.groupBy("id").count().filter("count > 1").isEmpty():
         own = docs
     else:  # the representative's id is repeated: one row of it stays
         nth = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.lit(1)))
         own = docs.withColumn("__n", nth).filter("__n = 1")
-    gone = classes.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return own.join(gone, own[id_col].eqNullSafe(gone["__id"]), "left_anti").select(*[own[c] for c in docs.columns])
+    gone = classes.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"))
+    return without(own.withColumn("__id", F.col(f"`{id_col}`").cast("long")), gone, ["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 
 from chunkwright.llm import simhash
@@ -46,7 +47,7 @@ def test_links_keep_every_component(spark):
     centres = [r.getrandbits(64) for _ in range(12)]
     fps = {x ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for x in centres for _ in range(60)} | {r.getrandbits(64) for _ in range(200)}
     signed = [((x - (1 << 64) if x >> 63 else x),) for x in sorted(fps)]
-    frame = spark.createDataFrame(signed, "fp long")
+    frame = spark.createDataFrame(signed, "fp long").selectExpr("fp", "fp AS node", "0L AS more")
     for distance, block in ((3, 4096), (3, 7), (7, 4096), (7, 50)):
         links = [(x["u"] % (1 << 64), x["v"] % (1 << 64)) for x in simhash.fingerprint_links(frame, distance, block).collect()]
         groups = defaultdict(set)
@@ -67,9 +68,38 @@ def test_links_keep_every_component(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values())), (distance, block)
 
 
+def test_second_half_decides_with_wide_fingerprints(spark):
+    rows = [(1, 0, 0), (2, 7, 0), (3, 7, (1 << 40) - 1), (4, 1, 3)]
+    frame = spark.createDataFrame(rows, "node long, fp long, more long")
+    links = {tuple(sorted(x)) for x in simhash.fingerprint_links(frame, 3, total=5).collect()}
+    assert {x for pair in links for x in pair} == {1, 2, 4}
+
+
+def test_stage_budgets_find_near_copies_and_leave_others(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[r.choice(words) for _ in range(200)] for _ in range(60)]
+    rows, copies = [], set()
+    for i, text in enumerate(base):
+        rows.append((2 * i, " ".join(text)))
+        if i % 2:
+            changed = list(text)
+            for k in r.sample(range(200), 2):
+                changed[k] = "changed"
+            rows.append((2 * i + 1, " ".join(changed)))
+            copies.add(2 * i + 1)
+    kept = {x["doc_id"] for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(60)} <= kept
+    assert len(copies - kept) >= 0.9 * len(copies)
+
+
 def test_long_text_is_counted_in_parts():
     text = " ".join(f"w{i % 977}" for i in range(450_000))
-    assert int(simhash.fingerprints([text.encode()], 3)[0]) == fingerprint(text, 3)
+    assert int(simhash.fingerprints([text.encode()], 3)[0, 0]) == fingerprint(text, 3)
+    halves = np.array(simhash.fingerprints([text.encode(), b"a b c"], 3, wide=True))
+    hashes = [xxhash.xxh3_128_digest(x) for x in simhash.shingles(text.encode(), 3)]
+    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+    assert np.unpackbits(halves[0].view(np.uint8), bitorder="little").tolist() == (2 * bits.sum(axis=0, dtype=int) > len(hashes)).astype(int).tolist()
 
 
 def test_near_dedup_keeps_one_of_each_class_and_all_columns(spark):
