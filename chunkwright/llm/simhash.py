@@ -120,8 +120,32 @@ def segments(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def ring_links(fp: np.ndarray, more: np.ndarray, group: np.ndarray, first: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs inside runs of equal ``group``; ``first``: the segment that a run agrees in."""
+#: Links held before they are folded into components.
+PENDING = 100_000
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (the least position of each component so far) after the links a-b."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def ring_roots(fp: np.ndarray, more: np.ndarray, group: np.ndarray, first: np.ndarray, distance: int, total: int) -> np.ndarray:
+    """The least position in the component of each position, by links inside runs of equal ``group``.
+
+    ``first``: the segment that a run agrees in.  Pairs already in one component
+    are not looked at again, and links are folded in as they come, so a group of
+    copies costs memory for its members, not for its pairs.
+    """
     parts = segments(distance + 1)
     masks = np.array([((1 << w) - 1) << s for s, w in parts], np.uint64)
     m = len(parts)
@@ -132,37 +156,27 @@ def ring_links(fp: np.ndarray, more: np.ndarray, group: np.ndarray, first: np.nd
     budgets = [length * distance // m for length in range(m + 1)]
     n = len(fp)
     ends = np.searchsorted(group, group, side="right")
-    left, right = [], []
+    root, held, count = np.arange(n), [], 0
     step, live = 1, np.flatnonzero(np.arange(n) + 1 < ends)
     while len(live):
-        x = fp[live] ^ fp[live + step]
-        at, start = live, first[live]
+        at = live[root[live] != root[live + step]]
+        x, start = fp[at] ^ fp[at + step], first[at]
         for length in range(2, m + 1):
             ok = np.bitwise_count(x & ring[start, length]) <= budgets[length]
             x, at, start = x[ok], at[ok], start[ok]
             if not len(at):
                 break
         if total < 128 and len(at):
-            ok = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(more[at] ^ more[at + step]) <= total
-            at = at[ok]
-        left.append(at)
-        right.append(at + step)
+            at = at[np.bitwise_count(x).astype(np.int64) + np.bitwise_count(more[at] ^ more[at + step]) <= total]
+        if len(at):
+            held.append((at, at + step))
+            count += len(at)
+        if count > PENDING:
+            root = joined(root, *(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, count = [], 0
         step += 1
         live = live[live + step < ends[live]]
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
-
-
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least position in each position's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            return root
+    return joined(root, *(np.concatenate(c) for c in zip(*held, strict=True))) if held else root
 
 
 def _cells(distance: int, total: int):
@@ -172,10 +186,9 @@ def _cells(distance: int, total: int):
             seg = part["segment"].to_numpy()
             key = np.stack([seg.astype(np.int64), part["value"].to_numpy(), part["cell"].to_numpy()])
             group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
-            a, b = ring_links(fp, more, group, seg.astype(np.int64), distance, total)
-            if len(a):
-                root = local_roots(len(fp), a, b)
-                at = np.flatnonzero(root != np.arange(len(fp)))
+            root = ring_roots(fp, more, group, seg.astype(np.int64), distance, total)
+            at = np.flatnonzero(root != np.arange(len(fp)))
+            if len(at):
                 yield pa.record_batch([pa.array(node[at]), pa.array(node[root[at]])], names=["u", "v"])
 
     return run
