@@ -72,11 +72,12 @@ class Transform:
 def merge(shards: list[Transform], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the order of their first ``window`` symbols, and the number of each one's block."""
     which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(x.positions) for x in shards])
+    alone = len(shards) == 1
     block = np.zeros(len(which), np.int32)
     symbols = np.empty(len(which), np.uint16)
     for depth in range(0, window, 2):
         for i, shard in enumerate(shards):
-            symbols[which == i] = shard.symbols
+            symbols[... if alone else which == i] = shard.symbols
         if depth + 1 == window:  # an odd length: the nearer symbol only
             symbols &= 0xFF
         order = np.argsort(symbols, kind="stable")
@@ -112,7 +113,7 @@ def repeated(spans: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     return of, later - (ends[of] - lengths[of] + 1)
 
 
-KIND = Kind(window=WINDOW, k=ANCHOR, by_words=False, keep_first=True, kernel=repeated)
+KIND = Kind(window=WINDOW, k=ANCHOR, by_words=False, keep_first=True, kernel=repeated, chunk=2048)
 
 
 def _cut(id_: int, text: bytes, runs: list[tuple[int, int]]) -> dict:

@@ -40,8 +40,8 @@ from chunkwright.llm.runs import whole_runs
 
 #: One document in so many steers how frequent k-grams are dealt; their number is bounded.
 SAMPLE, HOT_LEAST, HOT_KEYS, SALTS = 0.02, 20, 4096, 64
-#: Different spans of one k-gram that one task takes.
-SPANS = 20_000
+#: Different spans of one k-gram that one task takes; offsets that share a test before the kernel.
+SPANS, STEP = 20_000, 4
 _ANCHORS = "gram long, span long, row long, at long"
 _FOUND = "kind int, gram long, span long, row long, at long"
 _RANGES = "row long, first long, last long"
@@ -200,6 +200,34 @@ def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
 
+def shared_parts(grams: np.ndarray, texts: list[bytes], before: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans worth a look: their numbers, and the first and last window that may repeat.
+
+    Windows whose anchors lie at one of ``STEP`` neighbouring offsets share all
+    but STEP - 1 of their units.  If no other span of the k-gram has that
+    shared part, none has these windows.
+    """
+    owner, part, hashes = [], [], []
+    digest = xxhash.xxh3_64_intdigest
+    for r, (text, b, m) in enumerate(zip(texts, before.tolist(), count.tolist(), strict=True)):
+        for i in range((b - m + 1) // STEP, b // STEP + 1):
+            owner.append(r)
+            part.append(i)
+            hashes.append(digest(text[b - i * STEP : b - (i + 1) * STEP + 1 + window], i))
+    owner, part = np.array(owner, np.int64), np.array(part, np.int64)
+    key = np.array(hashes, np.uint64) ^ (grams[owner].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1
+    owner, part = owner[shared], part[shared]  # in order of owner, then part
+    if not len(owner):
+        return owner, owner, owner
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    who = owner[heads]
+    least, most = part[heads], part[np.concatenate([heads[1:], [len(owner)]]) - 1]
+    begin = np.maximum(0, before[who] - ((most + 1) * STEP - 1))
+    return who, begin, np.minimum(count[who] - 1, before[who] - least * STEP)
+
+
 def _solve(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches, ["gram"], kind.chunk):
@@ -209,7 +237,14 @@ def _solve(kind: Kind):
             rows = part["row"].to_numpy()[order]
             pos, rest = at[order] // _A, at[order] % _A
             first = pos - rest // _B
-            span, start = kind.kernel([texts[i] for i in order], kind.window)
+            texts = [texts[i] for i in order]
+            if not kind.by_words:
+                who, begin, end = shared_parts(part["gram"].to_numpy()[order], texts, rest // _B, rest % _B + 1, kind.window)
+                texts = [texts[i][a : b + kind.window] for i, a, b in zip(who.tolist(), begin.tolist(), end.tolist(), strict=True)]
+                rows, first = rows[who], first[who] + begin
+            if not len(texts):
+                continue
+            span, start = kind.kernel(texts, kind.window)
             if len(span):
                 begins = first[span] + start
                 cut = np.concatenate([[True], (span[1:] != span[:-1]) | (start[1:] != start[:-1] + 1)])

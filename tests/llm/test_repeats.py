@@ -110,3 +110,26 @@ def test_empty_table(spark, tables):
     d = tables(documents=([], DOCS))
     assert bwt_dedup.op8(spark, d).collect() == [] and tree_dedup.op10(spark, d).collect() == []
 
+
+def test_shared_parts_lose_no_repeat():
+    r = random.Random(12)
+    for _ in range(60):
+        window, gram = 20, b"0123456789"
+        spans, before, count = [], [], []
+        for _ in range(r.randint(1, 8)):
+            b, m = r.randint(0, 10), 0
+            m = r.randint(1, b + 1)
+            left, right = bytes(r.choice(b"ab") for _ in range(b)), bytes(r.choice(b"ab") for _ in range(30))
+            if spans and r.random() < 0.7:
+                left, right = (spans[0][: before[0]][-b:] if b else b"").rjust(b, b"a"), spans[0][before[0] + 10 :] + right
+            spans.append((left + gram + right)[: m - 1 + window])
+            before.append(b)
+            count.append(m)
+        who, begin, end = repeats.shared_parts(np.zeros(len(spans), np.int64), spans, np.array(before), np.array(count), window)
+        kept = {(w, j) for w, a, z in zip(who.tolist(), begin.tolist(), end.tolist(), strict=True) for j in range(a, z + 1)}
+        windows = defaultdict(list)
+        for i, (s, b, m) in enumerate(zip(spans, before, count, strict=True)):
+            for j in range(m):
+                windows[b - j, s[j : j + window]].append((i, j))
+        assert all(x in kept for same in windows.values() if len(same) > 1 for x in same)
+        assert all(j < count[i] for i, j in kept)
