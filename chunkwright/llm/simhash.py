@@ -103,15 +103,23 @@ def _fingerprint(n: int, wide: bool):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fp = fingerprints([x or b"" for x in texts], n, wide).view(np.int64)
-            yield pa.record_batch([batch.column("id"), pa.array(fp[:, 0]), pa.array(fp[:, -1] if wide else np.zeros(len(fp), np.int64))], names=["id", "fp", "more"])
+            keys = [c for c in batch.schema.names if c != "text"]
+            more = fp[:, -1] if wide else np.zeros(len(fp), np.int64)
+            yield pa.record_batch([*[batch.column(c) for c in keys], pa.array(fp[:, 0]), pa.array(more)], names=[*keys, "fp", "more"])
 
     return run
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """id, fp and more (the first and, if wide, the second 64 bits as signed longs) of every row."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False, digest: bool = False) -> DataFrame:
+    """id, the text's digest if asked for, fp and more (the first and, if wide, the second 64 bits as signed longs) of every row."""
     rows = pick(docs, id=id_col, text=text_col)
-    return rows.select(rows["id"].cast("long").alias("id"), "text").mapInArrow(_fingerprint(shingle, wide), "id long, fp long, more long")
+    sha = [text_digest(F.col("text")).alias("sha")] if digest else []
+    rows = rows.select(rows["id"].cast("long").alias("id"), *sha, "text")
+    return rows.mapInArrow(_fingerprint(shingle, wide), f"id long, {'sha binary, ' if digest else ''}fp long, more long")
+
+
+def text_digest(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -229,16 +237,29 @@ def near_classes(
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int | None = STAGE_TOTAL
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each class the row with the smallest id, once."""
-    classes = materialise(near_classes(docs, id_col, text_col, shingle, distance, total=total), "classes")
-    first = classes.filter(F.col("id").eqNullSafe(F.col("component_id")))
-    if first.groupBy("id").count().filter("count > 1").isEmpty():
-        own = docs
-    else:  # the representative's id is repeated: one row of it stays
-        nth = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.lit(1)))
-        own = docs.withColumn("__n", nth).filter("__n = 1")
-    gone = classes.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"))
-    return without(own.withColumn("__id", F.col(f"`{id_col}`").cast("long")), gone, ["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns: of each class one row, that with the smallest id.
+
+    Rows are told apart by id and text digest, as ids may be null or repeat: a
+    null id ranks last, of equal ids the smaller digest is first, and of rows
+    with the same id and text one stays.
+    """
+    wide = total is not None
+    node = F.xxhash64("fp", "more") if wide else F.col("fp")
+    rows = materialise(fingerprint_table(docs, id_col, text_col, shingle, wide, digest=True).withColumn("node", node), "fingerprints")
+    distinct = materialise(rows.select("node", "fp", "more").distinct(), "distinct")
+    roots = components(fingerprint_links(distinct, distance, total=total if wide else 128)).withColumnRenamed("node", "member")
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sha")).alias("best")
+    nodes = rows.groupBy("node").agg(best, F.count(F.lit(1)).alias("n"))
+    rooted = materialise(nodes.join(roots, nodes["node"] == roots["member"], "left").select("node", "best", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    first = materialise(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")).filter("n > 1").drop("n"), "first")
+    of_node = rooted.select("node", "root").join(first, "root").select("node", "best")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("sha") == F.col("best.sha"))
+    met = materialise(rows.join(of_node, "node").select("id", "sha", stays.alias("stays")), "classes")
+    own = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": text_digest(F.col(f"`{text_col}`"))})
+    if not met.filter("stays").groupBy("id", "sha").count().filter("count > 1").isEmpty():  # identical rows
+        own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))).filter("__n = 1")
+    gone = met.filter("NOT stays").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
+    return without(own, gone, ["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,5 +108,14 @@ def test_near_dedup_keeps_one_of_each_class_and_all_columns(spark):
     assert sorted((r["doc_id"], r["fp"]) for r in simhash.near_dedup(frame).collect()) == [(1, "x"), (3, "z"), (4, "n")]
 
 
+def test_near_dedup_tells_rows_with_null_or_repeated_ids_apart(spark):
+    r = random.Random(7)
+    base, alone, other, third, fourth = (" ".join(f"{k}{r.randrange(5000)}" for _ in range(150)) for k in "abcde")
+    near = base + " more"
+    rows = [(3, base), (None, near), (None, alone), (None, other), (7, third), (7, near + " end"), (8, fourth), (8, "short text of its own"), (None, alone)]
+    kept = [(x["doc_id"], x["text"]) for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(3, base), (None, alone), (None, other), (7, third), (8, fourth), (8, "short text of its own")], key=str)
+
+
 def test_empty_table(spark, tables):
     assert simhash.op4(spark, tables(documents=([], DOCS))).collect() == []
