@@ -14,6 +14,10 @@ Wide fingerprints have 128 bits: the first 64 are filtered as above, and the
 full check is on all 128 against a second budget.  Unrelated documents, of
 which some agree in 53 of 64 bits once a corpus is large, do not pass it.
 
+The corpus stage takes such links, from either half, as candidates only: inside
+their components the distinct texts are compared by their sets of shingles, and
+only a Jaccard similarity of ``SIMILAR`` or more joins two of them.
+
 A group of over ``BLOCK`` fingerprints is cut into blocks by a hash, and every
 two blocks meet in a cell of their own, so no cell holds more than two blocks
 and no link is lost.  A cell emits a spanning star of each of its components,
@@ -42,9 +46,11 @@ from chunkwright.llm.runs import whole_runs
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that meet in one cell: at most two blocks.
 BLOCK = 4096
-#: For the corpus stage: five words, bits that may differ of the first 64 and of all 128.  Of the pairs with a
-#: Jaccard similarity of 0.8 or more these budgets find about nine in ten (README).
-STAGE_SHINGLE, STAGE_DISTANCE, STAGE_TOTAL = 5, 11, 24
+#: For the corpus stage: five words, bits that may differ of either half and of all 128.  These budgets only find
+#: candidates (README: recall); the shingle sets decide.
+STAGE_SHINGLE, STAGE_DISTANCE, STAGE_TOTAL, STAGE_BLOCK = 5, 13, 32, 16384
+#: Least Jaccard similarity of near copies, as a fraction, and the texts of one block that are compared.
+SIMILAR, TEXTS, TEXT_BYTES = (4, 5), 1024, 16 << 20
 
 
 def shingles(text: bytes, n: int) -> list[bytes]:
@@ -202,6 +208,14 @@ def _cells(distance: int, total: int):
     return run
 
 
+def _cells_of(key: str) -> F.Column:
+    """The cells in which the block of ``key`` meets the other ``blocks``."""
+    own = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other))
+    #: a block meets itself in the cell with the next, so only a lone block has a cell (0, 0)
+    return F.filter(cells, lambda c: (F.col("blocks") == 1) | (c % F.col("blocks") != F.floor(c / F.col("blocks"))))
+
+
 def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK, total: int = 128) -> DataFrame:
     """u, v: links that join all fingerprints (node, fp, more) within the budgets into their components."""
     parts = segments(distance + 1)
@@ -209,16 +223,70 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int
     keyed = distinct.select("node", "fp", "more", F.inline(spans))
     large = keyed.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("segment", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     sized = keyed.join(large, ["segment", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other))
-    #: a block meets itself in the cell with the next, so only a lone block has a cell (0, 0)
-    cells = F.filter(cells, lambda c: (F.col("blocks") == 1) | (c % F.col("blocks") != F.floor(c / F.col("blocks"))))
-    cut = sized.select("node", "fp", "more", "segment", "value", F.explode(cells).alias("cell"))
+    cut = sized.select("node", "fp", "more", "segment", "value", F.explode(_cells_of("node")).alias("cell"))
     n = 2 * shuffle_partitions(distinct.sparkSession)
     placed = cut.repartition(n, "segment", "value", "cell").sortWithinPartitions("segment", "value", "cell", "fp")
     return placed.mapInArrow(_cells(distance, total), "u long, v long")
 
 
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links a-b that join all sets with a Jaccard similarity of ``SIMILAR`` or more into their components.
+
+    From each set reached, only those that no link has reached are compared.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    empty = np.flatnonzero(size == 0)
+    links = [(int(empty[0]), int(x)) for x in empty[1:]]
+    rest = np.flatnonzero(size)
+    if len(rest) < 2:
+        return links
+    vocabulary, codes = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)
+    ends = np.cumsum(size)
+    held = np.zeros(len(vocabulary), np.int32)
+    least, whole = SIMILAR
+    queue: list[int] = []
+    kept = codes  # codes of the sets in rest, one after the other
+    while len(rest):
+        if not queue:
+            queue.append(int(rest[0]))
+            kept, rest = kept[size[rest[0]] :], rest[1:]
+            continue
+        a = queue.pop()
+        held[codes[ends[a] - size[a] : ends[a]]] = 1
+        shared = np.add.reduceat(held[kept], np.cumsum(size[rest]) - size[rest])
+        held[codes[ends[a] - size[a] : ends[a]]] = 0
+        hit = whole * shared >= least * (size[a] + size[rest] - shared)
+        if hit.any():
+            links += [(a, int(b)) for b in rest[hit]]
+            queue += rest[hit].tolist()
+            kept, rest = kept[np.repeat(~hit, size[rest])], rest[~hit]
+    return links
+
+
+def _similar(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches, ["root", "cell"], 2_000):
+            root, cell, key = part["root"].to_numpy(), part["cell"].to_numpy(), part["key"].to_numpy()
+            edges = [0, *(np.flatnonzero((root[1:] != root[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), len(root)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                hashes = (b"".join(map(xxhash.xxh64_digest, shingles(x.as_py(), shingle))) for x in part["text"][a:b])
+                links = np.array(similar_links([np.unique(np.frombuffer(x, np.uint64)) for x in hashes]), np.int64).reshape(-1, 2)
+                if len(links):
+                    yield pa.record_batch([pa.array(key[a + links[:, 0]]), pa.array(key[a + links[:, 1]])], names=["u", "v"])
+
+    return run
+
+
+def text_links(texts: DataFrame, shingle: int, block: int = TEXTS) -> DataFrame:
+    """u, v: links that join the texts (root, key, text), distinct by key, that are near copies of others of one root."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("text")) / TEXT_BYTES)).cast("int")
+    large = texts.groupBy("root").agg(blocks.alias("blocks")).filter("blocks > 1")
+    sized = texts.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = sized.select("root", "key", "text", F.explode(_cells_of("key")).alias("cell"))
+    placed = cut.repartition(2 * shuffle_partitions(texts.sparkSession), "root", "cell").sortWithinPartitions("root", "cell")
+    return placed.mapInArrow(_similar(shingle), "u long, v long")
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK, total: int | None = None
 ) -> DataFrame:
@@ -235,7 +303,7 @@ def near_classes(
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int | None = STAGE_TOTAL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int = STAGE_TOTAL, block: int = STAGE_BLOCK
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each class one row, that with the smallest id.
 
@@ -243,18 +311,25 @@ def near_dedup(
     null id ranks last, of equal ids the smaller digest is first, and of rows
     with the same id and text one stays.
     """
-    wide = total is not None
-    node = F.xxhash64("fp", "more") if wide else F.col("fp")
-    rows = materialise(fingerprint_table(docs, id_col, text_col, shingle, wide, digest=True).withColumn("node", node), "fingerprints")
+    hashed = fingerprint_table(docs, id_col, text_col, shingle, True, digest=True)
+    rows = materialise(hashed.withColumns({"node": F.xxhash64("fp", "more"), "key": F.xxhash64("sha")}), "fingerprints")
     distinct = materialise(rows.select("node", "fp", "more").distinct(), "distinct")
-    roots = components(fingerprint_links(distinct, distance, total=total if wide else 128)).withColumnRenamed("node", "member")
+    swapped = distinct.select("node", F.col("more").alias("fp"), F.col("fp").alias("more"))
+    links = [fingerprint_links(x, distance, block, total) for x in (distinct, swapped)]
+    candidates = components(links[0].unionByName(links[1])).withColumnRenamed("node", "member")
     best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sha")).alias("best")
-    nodes = rows.groupBy("node").agg(best, F.count(F.lit(1)).alias("n"))
-    rooted = materialise(nodes.join(roots, nodes["node"] == roots["member"], "left").select("node", "best", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    texts = rows.groupBy("key", "sha", "node").agg(best, F.count(F.lit(1)).alias("n"))
+    texts = materialise(texts.join(candidates, texts["node"] == candidates["member"], "left").select("key", "sha", "best", "n", F.coalesce("root", "node").alias("root")), "texts")
+    several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("root")
+    met = materialise(texts.join(several, "root").select("root", "key", "sha"), "candidates")
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")
+    bodies = docs.select(text_digest(F.col(f"`{text_col}`")).alias("sha"), body).join(met, "sha").groupBy("root", "key").agg(F.any_value("text").alias("text"))
+    roots = components(text_links(materialise(bodies, "bodies"), shingle)).withColumnsRenamed({"node": "member", "root": "top"})
+    rooted = materialise(texts.join(roots, texts["key"] == roots["member"], "left").select("key", "best", "n", F.coalesce("top", "key").alias("root")), "rooted")
     first = materialise(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")).filter("n > 1").drop("n"), "first")
-    of_node = rooted.select("node", "root").join(first, "root").select("node", "best")
+    of_key = rooted.select("key", "root").join(first, "root").select("key", "best")
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("sha") == F.col("best.sha"))
-    met = materialise(rows.join(of_node, "node").select("id", "sha", stays.alias("stays")), "classes")
+    met = materialise(rows.join(of_key, "key").select("id", "sha", stays.alias("stays")), "classes")
     own = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": text_digest(F.col(f"`{text_col}`"))})
     if not met.filter("stays").groupBy("id", "sha").count().filter("count > 1").isEmpty():  # identical rows
         own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))).filter("__n = 1")

@@ -117,5 +117,55 @@ def test_near_dedup_tells_rows_with_null_or_repeated_ids_apart(spark):
     assert sorted(kept, key=str) == sorted([(3, base), (None, alone), (None, other), (7, third), (8, fourth), (8, "short text of its own")], key=str)
 
 
+def jaccard(a, b):
+    x, y = (set(simhash.shingles(t.encode(), 5)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_joins_by_similarity_of_shingles(spark):
+    """Pairs from 0.65 to 0.95, each on words of its own: those at 0.8 or more are joined, no others."""
+    r = random.Random(3)
+    rows, near = [], set()
+    for i in range(150):
+        text = [f"w{i}x{r.randrange(10**6)}" for _ in range(300)]
+        changed = list(text)
+        for k in r.sample(range(300), r.randint(2, 14)):
+            changed[k] = "other"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(changed))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            near.add(2 * i + 1)
+    gone = {i for i, _ in rows} - {x["doc_id"] for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone <= near and len(near) > 30
+    assert len(gone) >= 0.97 * len(near)
+
+
+def test_text_links_equal_brute_force_in_blocks(spark):
+    r = random.Random(4)
+    texts = ["", " ", "A b", "a B"]
+    for _ in range(12):
+        words = [f"v{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(6):
+            texts.append(" ".join("x" if r.random() < 0.012 else w for w in words))
+    texts = sorted(set(texts))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i, parent):
+        return i if parent[i] == i else find(parent[i], parent)
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if not sets[a] | sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[find(a, parent)] = find(b, parent)
+    frame = spark.createDataFrame([(1, i, t.encode()) for i, t in enumerate(texts)], "root long, key long, text binary")
+    for block in (1000, 9):
+        got = list(range(len(texts)))
+        for x in simhash.text_links(frame, 5, block).collect():
+            got[find(x["u"], got)] = find(x["v"], got)
+        for a in range(len(texts)):
+            for b in range(a):
+                assert (find(a, got) == find(b, got)) == (find(a, parent) == find(b, parent)), (block, texts[a], texts[b])
+
+
 def test_empty_table(spark, tables):
     assert simhash.op4(spark, tables(documents=([], DOCS))).collect() == []
