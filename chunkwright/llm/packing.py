@@ -15,7 +15,10 @@ with the same sequence numbers (task number, then a counter).
 
 Ids are those of the ``tokenizers`` library for the given vocabulary; the same
 byte-level ranks are run by ``tiktoken``, which is several times faster
-(``tests/llm`` compares the two).
+(``tests/llm`` compares the two).  Its expressions fail on runs of a million
+white-space characters, so runs of ``LONG_SPACE`` or more never reach them:
+such a run, less its last character if text follows, is one piece in any case,
+and its ids come from the ranks directly.
 
 Defined cases: null text is the empty text and gives the end id alone;
 identical rows are packed once each; an empty table gives no rows; columns
@@ -40,6 +43,10 @@ from chunkwright.llm.common import pick, table
 WINDOW, END_ID, MAX_OPEN, LEAST = 1024, 0, 2048, 64
 LONG_TEXT = 1_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+LONG_SPACE = 100_000
+#: White space as the tokenizer's expressions have it, which is not quite that of ``re``.
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
+END_TEXT = "<|endoftext|>"
 _BETWEEN_WORDS = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 
 
@@ -57,10 +64,23 @@ def encoder(ranks_path: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_TEXT: len(ranks)})
 
 
 def encode(text: str, ranks_path: str) -> np.ndarray:
+    if len(text) < LONG_SPACE:
+        return _encode(text, ranks_path)
+    parts, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        to = run.end() if run.end() == len(text) or text.startswith(END_TEXT, run.end()) else run.end() - 1
+        parts.append(_encode(text[at : run.start()], ranks_path))
+        parts.append(np.array(encoder(ranks_path)._encode_single_piece(text[run.start() : to].encode()), np.uint32))
+        at = to
+    parts.append(_encode(text[at:], ranks_path))
+    return np.concatenate(parts)
+
+
+def _encode(text: str, ranks_path: str) -> np.ndarray:
     enc = encoder(ranks_path)
     if len(text) <= LONG_TEXT:
         return np.array(enc.encode(text, allowed_special="all"), np.uint32)

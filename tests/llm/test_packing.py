@@ -46,6 +46,16 @@ def test_round_trip(spark, tables):
     check(rows, pieces)
 
 
+def test_very_long_white_space_runs(spark):
+    runs = [" " * 1_200_000, "\n" * 1_100_000, "\u3000 " * 550_000, " " * 150_000]
+    texts = [f"word{x}next" for x in runs] + [f"a {x}" for x in runs] + [f"{x}\x1c1{x}\n!{x}<|endoftext|>{x}" for x in runs[3:]] + [" " * 99_999 + "b", "1" * 1_200_000]
+    own = packing.vocabulary()
+    for text, ids in zip(texts, reference_ids(texts), strict=True):
+        assert np.array_equal(packing.encode(text, own), ids[:-1]), (text[:10], len(text))
+    rows = [(1, texts[0]), (2, "after it")]
+    check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_little_padding(spark):
     r = random.Random(1)
     rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 2500)))) for i in range(400)]
