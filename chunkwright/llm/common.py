@@ -69,17 +69,20 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     Rows without a mark stay where they are; only the others, some of which
     are gone, are dealt out to meet the gone keys themselves.
     """
-    mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS)).cast("int").alias("__mark")
+    rows, back = renamed(rows)
+    keys_of, own = [F.col(f"`{k}`") for k in keys], [back[k] for k in keys]
+    mark = F.pmod(F.xxhash64(*keys_of), F.lit(MARKS)).cast("int").alias("mark")
     marks = gone.select(mark).distinct()
-    marked = rows.select("*", mark)
-    stay = marked.join(F.broadcast(marks), "__mark", "left_anti")
-    held = marked.join(F.broadcast(marks), "__mark", "left_semi")
-    there = gone.select(*[F.col(k).alias(f"__gone{i}") for i, k in enumerate(keys)]).distinct()
-    same = [held[k].eqNullSafe(there[f"__gone{i}"]) for i, k in enumerate(keys)]
+    marked = rows.select("*", F.pmod(F.xxhash64(*own), F.lit(MARKS)).cast("int").alias("mark"))
+    stay = marked.join(F.broadcast(marks), "mark", "left_anti")
+    held = marked.join(F.broadcast(marks), "mark", "left_semi")
+    there = gone.select(*[k.alias(f"gone{i}") for i, k in enumerate(keys_of)]).distinct()
+    same = [held[k].eqNullSafe(there[f"gone{i}"]) for i, k in enumerate(own)]
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    return stay.unionByName(held.join(there, condition, "left_anti")).drop("__mark")
+    left = stay.unionByName(held.join(there, condition, "left_anti")).drop("mark")
+    return left.select(*back.values()).toDF(*back)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -87,5 +90,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ..., which no column of an operator is, and the new name of each.
+
+    ``.toDF(*names)`` names them back, by place: so no name of the input can clash.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import materialise, pick, shuffle_partitions, table, without
+from chunkwright.llm.common import materialise, pick, renamed, shuffle_partitions, table, without
 from chunkwright.llm.mph import PerfectHash, as_matrix
 
 #: Distinct digests that one shard may hold on average (48 bytes each).
@@ -120,13 +120,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of identical rows with the same id one stays."""
     verdict = materialise(exact_dedup(docs, id_col, text_col).filter("NOT kept"), "repeats")
-    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
-    own = docs.withColumns({"__sha": digest})
+    plain, own = renamed(docs)
+    plain = plain.withColumns({"id": F.col(own[id_col]).cast("long"), "sha": F.sha2(F.coalesce(own[text_col], F.lit("")), 256)})
     if not verdict.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():  # identical rows
-        first = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), "__sha").orderBy(F.lit(1)))
-        own = own.withColumn("__n", first).filter("__n = 1")
-    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    return without(own.withColumn("__id", F.col(f"`{id_col}`").cast("long")), gone, ["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        first = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(1)))
+        plain = plain.withColumn("n", first).filter("n = 1").drop("n")
+    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    return without(plain, gone, ["id", "sha"]).drop("id", "sha").toDF(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

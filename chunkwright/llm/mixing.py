@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import WORD_PATTERN, materialise, pick, table
+from chunkwright.llm.common import WORD_PATTERN, materialise, pick, renamed, table
 from chunkwright.llm.flow import quotas, route
 
 MAX_PATTERNS, MAX_COPIES, SEED, CELL = 20_000, 3, 42, 1000
@@ -116,8 +116,10 @@ def mix(docs: DataFrame, sources: Column, size: Column, targets=None, id_col: st
 
 def mixed_rows(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of the mix with the columns of ``docs``: each as often as it is taken."""
-    mixed = mix(docs, F.array(F.col(f"`{source_col}`")), words(F.col(f"`{text_col}`")), id_col=id_col)
-    return mixed.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, own = renamed(docs)
+    mixed = mix(plain, F.array(own[source_col]), words(F.col(own[text_col])), id_col=own[id_col])
+    taken = mixed.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return taken.select(*own.values()).toDF(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,20 @@ therefore grouped by (segment number, value); inside a group the chain is
 checked length by length, most pairs falling out at the second segment, and
 the last length is the full Hamming check.
 
-Wide fingerprints have 128 bits: the first 64 are filtered as above, and the
-full check is on all 128 against a second budget.  Unrelated documents, of
-which some agree in 53 of 64 bits once a corpus is large, do not pass it.
-
-The corpus stage takes such links, from either half, as candidates only: inside
-their components the distinct texts are compared by their sets of shingles, and
-only a Jaccard similarity of ``SIMILAR`` or more joins two of them.
+Wide fingerprints have 128 bits, with a second budget for all of them.
+
+The corpus stage wants texts whose sets of shingles have a Jaccard similarity
+of ``SIMILAR`` or more, which may differ in a fourth of the 128 bits.  Segments
+short enough for that would gather a fixed share of all pairs, so there a key
+comes before the ring: fingerprints meet if they share the least of their
+shingles in one of ``MINS`` orders (at a similarity of 0.8 all but one in 15,000 pairs do), and how many meet follows from the copies, not from the
+size of the corpus.  Those that share one least shingle are filtered by the
+rings of either half and the full check on all bits.  The links are candidates
+only: inside their components the distinct texts are compared by their sets of
+shingles, and only a similarity of ``SIMILAR`` or more joins two of them.  A
+least shingle that over ``BLOCK`` fingerprints share (a passage in many texts)
+is taken together with each of their other least shingles; what is still above
+is cut into blocks.
 
 A group of over ``BLOCK`` fingerprints is cut into blocks by a hash, and every
 two blocks meet in a cell of their own, so no cell holds more than two blocks
@@ -39,16 +46,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import materialise, pick, shuffle_partitions, table, without
+from chunkwright.llm.common import drop_materialised, materialise, pick, renamed, shuffle_partitions, table, without
 from chunkwright.llm.components import components
 from chunkwright.llm.runs import whole_runs
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that meet in one cell: at most two blocks.
 BLOCK = 4096
-#: For the corpus stage: five words, bits that may differ of either half and of all 128.  These budgets only find
-#: candidates (README: recall); the shingle sets decide.
-STAGE_SHINGLE, STAGE_DISTANCE, STAGE_TOTAL, STAGE_BLOCK = 5, 13, 32, 16384
+#: For the corpus stage: five words, bits that may differ of all 128 (so of one half at most half of these), orders of
+#: shingles.  These budgets only find candidates (README: recall); the shingle sets decide.
+STAGE_SHINGLE, STAGE_TOTAL, MINS = 5, 32, 6
 #: Least Jaccard similarity of near copies, as a fraction, and the texts of one block that are compared.
 SIMILAR, TEXTS, TEXT_BYTES = (4, 5), 1024, 16 << 20
 
@@ -72,27 +79,44 @@ def _hashes(found: list[bytes], wide: bool) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in found]), np.uint8).reshape(-1, 8)[:, ::-1]
 
 
-def fingerprints(texts: list[bytes], n: int, wide: bool = False) -> np.ndarray:
-    """Unsigned fingerprints (a column of 64 bits, or two), a bit set where over half the shingles' hashes set it."""
-    out = np.zeros((len(texts), 2 if wide else 1), np.uint64)
+def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The least shingle of each text in each of ``MINS`` orders, from 128-bit hashes laid end to end."""
+    low, high = hashes.view("<u8").T
+    return np.stack([np.minimum.reduceat(low + np.uint64(j) * high, starts) for j in range(MINS)], axis=1)
+
+
+def fingerprints(texts: list[bytes], n: int, wide: bool = False, mins: bool = False) -> np.ndarray:
+    """Unsigned fingerprints (a column of 64 bits, or two), a bit set where over half the shingles' hashes set it; then the minima if asked for."""
+    columns = 2 if wide else 1
+    out = np.zeros((len(texts), columns + MINS * mins), np.uint64)
     hashes: list[np.ndarray] = []
     at: list[int] = []
     held = 0
 
     def flush():
         if at:
-            bits = np.unpackbits(np.concatenate(hashes), axis=1, bitorder="little")
+            whole = np.concatenate(hashes)
+            bits = np.unpackbits(whole, axis=1, bitorder="little")
             total = np.array([len(x) for x in hashes])
             counts = np.add.reduceat(bits, np.cumsum(total) - total, axis=0, dtype=np.int64)
-            out[at] = np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view("<u8")
+            out[at, :columns] = np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view("<u8")
+            if mins:
+                out[at, columns:] = _minima(whole, np.cumsum(total) - total)
             hashes.clear()
             at.clear()
 
     for i, text in enumerate(texts):
         found = shingles(text, n)
         if len(found) > 400_000:  # a very long text: counted in parts
-            counts = sum(np.unpackbits(_hashes(found[k : k + 400_000], wide), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(found), 400_000))
-            out[i] = np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+            counts, least = 0, []
+            for k in range(0, len(found), 400_000):
+                part = _hashes(found[k : k + 400_000], wide)
+                counts = counts + np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                if mins:
+                    least.append(_minima(part, np.zeros(1, np.int64)))
+            out[i, :columns] = np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+            if mins:
+                out[i, columns:] = np.concatenate(least).min(axis=0)
         elif found:
             at.append(i)
             hashes.append(_hashes(found, wide))
@@ -104,24 +128,25 @@ def fingerprints(texts: list[bytes], n: int, wide: bool = False) -> np.ndarray:
     return out
 
 
-def _fingerprint(n: int, wide: bool):
+def _fingerprint(n: int, wide: bool, mins: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fp = fingerprints([x or b"" for x in texts], n, wide).view(np.int64)
+            fp = fingerprints([x or b"" for x in texts], n, wide, mins).view(np.int64)
             keys = [c for c in batch.schema.names if c != "text"]
-            more = fp[:, -1] if wide else np.zeros(len(fp), np.int64)
-            yield pa.record_batch([*[batch.column(c) for c in keys], pa.array(fp[:, 0]), pa.array(more)], names=[*keys, "fp", "more"])
+            more = fp[:, 1] if wide else np.zeros(len(fp), np.int64)
+            least = [pa.array(fp[:, 2:].tolist(), pa.list_(pa.int64()))] if mins else []
+            yield pa.record_batch([*[batch.column(c) for c in keys], pa.array(fp[:, 0]), pa.array(more), *least], names=[*keys, "fp", "more", *["mins"] * mins])
 
     return run
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False, digest: bool = False) -> DataFrame:
-    """id, the text's digest if asked for, fp and more (the first and, if wide, the second 64 bits as signed longs) of every row."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, wide: bool = False, stage: bool = False) -> DataFrame:
+    """id, fp and more (the first and, if wide, the second 64 bits as signed longs) of every row; for the stage also the text's digest and the minima."""
     rows = pick(docs, id=id_col, text=text_col)
-    sha = [text_digest(F.col("text")).alias("sha")] if digest else []
+    sha = [text_digest(F.col("text")).alias("sha")] if stage else []
     rows = rows.select(rows["id"].cast("long").alias("id"), *sha, "text")
-    return rows.mapInArrow(_fingerprint(shingle, wide), f"id long, {'sha binary, ' if digest else ''}fp long, more long")
+    return rows.mapInArrow(_fingerprint(shingle, wide or stage, stage), f"id long, {'sha binary, ' if stage else ''}fp long, more long{', mins array<long>' if stage else ''}")
 
 
 def text_digest(text: F.Column) -> F.Column:
@@ -229,6 +254,52 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int
     return placed.mapInArrow(_cells(distance, total), "u long, v long")
 
 
+def _gathered(total: int):
+    distance = total // 2
+    parts = segments(distance + 1)
+    wide = np.int64(1) << np.int64(max(w for _, w in parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches, ["key", "cell"], 20_000):
+            key = np.stack([part["key"].to_numpy(), part["cell"].to_numpy()])
+            group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+            several = np.bincount(group)[group] > 1
+            if not several.any():
+                continue
+            group, node = group[several], part["node"].to_numpy()[several]
+            halves = [part[c].to_numpy()[several].view(np.uint64) for c in ("fp", "more")]
+            root = np.arange(len(node))
+            for fp, more in (halves, halves[::-1]):
+                code = np.stack([(group * len(parts) + i) * wide + (fp >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for i, (s, w) in enumerate(parts)], axis=1)
+                order = np.argsort(code, axis=None, kind="stable")  # runs of one group, segment and value
+                at, first, code = order // len(parts), order % len(parts), code.ravel()[order]
+                top = ring_roots(fp[at], more[at], code, first, distance, total)
+                linked = np.flatnonzero(top != np.arange(len(top)))
+                root = joined(root, at[linked], at[top[linked]])
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            if len(linked):
+                yield pa.record_batch([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
+
+    return run
+
+
+def gathered_links(distinct: DataFrame, total: int = STAGE_TOTAL, block: int = BLOCK) -> DataFrame:
+    """u, v: links between fingerprints (node, fp, more, mins) that share a least shingle and differ in at most ``total`` of 128 bits."""
+    n = 2 * shuffle_partitions(distinct.sparkSession)
+    keyed = distinct.select("node", "fp", "more", "mins", F.posexplode("mins").alias("order", "least")).withColumn("key", F.xxhash64("order", "least"))
+    large = materialise(keyed.groupBy("key").count().filter(F.col("count") > block).select("key"), "large")
+    columns = ["node", "fp", "more", "key"]
+    if large.isEmpty():
+        placed = keyed.select(*columns, F.lit(0).cast("long").alias("cell"))
+    else:
+        others = F.filter(F.transform("mins", lambda x, i: F.xxhash64("key", i, x)), lambda x: x != F.xxhash64("key", "order", "least"))
+        deeper = keyed.join(large, "key", "left_semi").select("node", "fp", "more", F.explode(others).alias("key"))
+        crowded = deeper.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+        cut = deeper.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(*columns, F.explode(_cells_of("node")).alias("cell"))
+        placed = keyed.join(large, "key", "left_anti").select(*columns, F.lit(0).cast("long").alias("cell")).unionByName(cut)
+    return placed.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_gathered(total), "u long, v long")
+
+
 def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links a-b that join all sets with a Jaccard similarity of ``SIMILAR`` or more into their components.
 
@@ -302,21 +373,18 @@ def near_classes(
     return rows.join(of_node, "node").select("id", "fp", "component_id")
 
 
-def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int = STAGE_TOTAL, block: int = STAGE_BLOCK
-) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, total: int = STAGE_TOTAL, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each class one row, that with the smallest id.
 
     Rows are told apart by id and text digest, as ids may be null or repeat: a
     null id ranks last, of equal ids the smaller digest is first, and of rows
     with the same id and text one stays.
     """
-    hashed = fingerprint_table(docs, id_col, text_col, shingle, True, digest=True)
+    hashed = fingerprint_table(docs, id_col, text_col, shingle, stage=True)
     rows = materialise(hashed.withColumns({"node": F.xxhash64("fp", "more"), "key": F.xxhash64("sha")}), "fingerprints")
-    distinct = materialise(rows.select("node", "fp", "more").distinct(), "distinct")
-    swapped = distinct.select("node", F.col("more").alias("fp"), F.col("fp").alias("more"))
-    links = [fingerprint_links(x, distance, block, total) for x in (distinct, swapped)]
-    candidates = components(links[0].unionByName(links[1])).withColumnRenamed("node", "member")
+    distinct = materialise(rows.groupBy("node", "fp", "more", "mins").agg(F.lit(1).alias("one")).drop("one"), "distinct")
+    found = components(gathered_links(distinct, total, block))
+    candidates = found.withColumnRenamed("node", "member")
     best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "sha")).alias("best")
     texts = rows.groupBy("key", "sha", "node").agg(best, F.count(F.lit(1)).alias("n"))
     texts = materialise(texts.join(candidates, texts["node"] == candidates["member"], "left").select("key", "sha", "best", "n", F.coalesce("root", "node").alias("root")), "texts")
@@ -324,17 +392,21 @@ def near_dedup(
     met = materialise(texts.join(several, "root").select("root", "key", "sha"), "candidates")
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")
     bodies = docs.select(text_digest(F.col(f"`{text_col}`")).alias("sha"), body).join(met, "sha").groupBy("root", "key").agg(F.any_value("text").alias("text"))
-    roots = components(text_links(materialise(bodies, "bodies"), shingle)).withColumnsRenamed({"node": "member", "root": "top"})
+    bodies = materialise(bodies, "bodies")
+    near = components(text_links(bodies, shingle))
+    roots = near.withColumnsRenamed({"node": "member", "root": "top"})
     rooted = materialise(texts.join(roots, texts["key"] == roots["member"], "left").select("key", "best", "n", F.coalesce("top", "key").alias("root")), "rooted")
     first = materialise(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")).filter("n > 1").drop("n"), "first")
     of_key = rooted.select("key", "root").join(first, "root").select("key", "best")
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("sha") == F.col("best.sha"))
-    met = materialise(rows.join(of_key, "key").select("id", "sha", stays.alias("stays")), "classes")
-    own = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": text_digest(F.col(f"`{text_col}`"))})
-    if not met.filter("stays").groupBy("id", "sha").count().filter("count > 1").isEmpty():  # identical rows
-        own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))).filter("__n = 1")
-    gone = met.filter("NOT stays").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
-    return without(own, gone, ["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = materialise(rows.join(of_key, "key").select("id", "sha", stays.alias("stays")), "classes")
+    for done in (rows, distinct, found, texts, met, bodies, near, rooted, first):
+        drop_materialised(done)
+    plain, own = renamed(docs)
+    plain = plain.withColumns({"id": F.col(own[id_col]).cast("long"), "sha": text_digest(F.col(own[text_col]))})
+    if not classes.filter("stays").groupBy("id", "sha").count().filter("count > 1").isEmpty():  # identical rows
+        plain = plain.withColumn("n", F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(1)))).filter("n = 1").drop("n")
+    return without(plain, classes.filter("NOT stays").select("id", "sha"), ["id", "sha"]).drop("id", "sha").toDF(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

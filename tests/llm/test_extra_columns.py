@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chunkwright.llm import bwt_dedup, exact_dedup, mixing, packing, quality, simhash, topk, tree_dedup
 from tests.llm.helpers import DOCS, HOSTILE, docs
 
-NAMES = ["id", "row", "digest", "fp", "size", "copies", "keep_id", "component_id", "gram", "at", "pattern", "h", "__size_", "label", "score", "taken", "start", "kind"]
+NAMES = ["id", "row", "digest", "fp", "size", "copies", "keep_id", "component_id", "gram", "at", "pattern", "h", "__size_", "__size", "__key", "__h", "__n", "__id", "__sha", "__mark", "__copies", "c0", "mark", "label", "score", "taken", "start", "kind"]
 
 
 @pytest.mark.parametrize(

@@ -169,3 +169,30 @@ def test_text_links_equal_brute_force_in_blocks(spark):
 
 def test_empty_table(spark, tables):
     assert simhash.op4(spark, tables(documents=([], DOCS))).collect() == []
+
+
+def test_crowded_least_shingles_lose_no_near_copy(spark):
+    """A passage that most texts share: its least shingle is taken with others, then in blocks; the rows that stay are those of brute force."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        own = [f"w{i}x{r.randrange(10**6)}" for _ in range(120)]
+        for copy in range(3):
+            text = own[:50] + passage + own[50:]
+            for k in r.sample(range(len(text)), copy):
+                text[k] = f"other{copy}"
+            rows.append((3 * i + copy, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    gone = {a for a in texts for b in range(a - a % 3, a) if jaccard(texts[a], texts[b]) >= 0.8}
+    for block in (4096, 6):
+        kept = {x["doc_id"] for x in simhash.near_dedup(frame, block=block).collect()}
+        assert set(texts) - kept == gone, block
+
+
+def test_keys_of_a_fingerprint_do_not_grow_with_their_number(spark):
+    for n in (2_000, 20_000):
+        rows = spark.range(n).selectExpr("xxhash64(id) AS node", "xxhash64(id, 1) AS fp", "xxhash64(id, 2) AS more", "transform(sequence(3, 8), x -> xxhash64(id, x)) AS mins")
+        assert simhash.gathered_links(rows).count() == 0
+        assert rows.selectExpr("explode(mins)").count() == simhash.MINS * n
