@@ -7,11 +7,12 @@ partly filled windows are filled up to h, and a piece of length s goes on the
 level h (0: a new window) for which the sum of the squared counts grows least.
 
 Ids are kept only for windows still open, so memory is bounded: past
-``MAX_OPEN`` open windows, and at the end of a task, their contents are cut
-anew into whole windows.  What then remains, less than a window in each task,
-becomes sequences of a power of two, which need no padding, and one of fewer
-than ``LEAST`` ids.  Nothing is shuffled, and a lost task repeats its own part
-with the same sequence numbers (task number, then a counter).
+``MAX_OPEN`` open windows (64 MB of ids), and at the end of a task, the
+emptiest are taken apart and their pieces cut to fill the gaps of the fullest,
+which keep all that was placed in them.  What then remains, less than a window
+in each task, becomes sequences of a power of two, which need no padding, and
+one of at most ``LEAST`` ids.  Nothing is shuffled, and a lost task repeats
+its own part with the same sequence numbers (task number, then a counter).
 
 Ids are those of the ``tokenizers`` library for the given vocabulary; the same
 byte-level ranks are run by ``tiktoken``, which is several times faster
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkwright.llm.common import pick, table
 
-WINDOW, END_ID, MAX_OPEN, LEAST = 1024, 0, 2048, 64
+WINDOW, END_ID, MAX_OPEN, LEAST = 1024, 0, 16384, 64
 LONG_TEXT = 1_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LONG_SPACE = 100_000
@@ -125,39 +126,64 @@ class SumOfSquares:
         self.open += 1
         return None
 
-    def take_all(self) -> list:
-        """The pieces of all open windows, fullest first; none is open after."""
-        out = [piece for level in reversed(self.levels) for held in level for piece in held]
+    def top_up(self, most: int) -> tuple[list[list], list, int]:
+        """Windows filled until at most ``most`` are open, what is left of the last one taken apart, and the ids moved.
+
+        The fullest windows keep all that was placed in them; the emptiest are
+        taken apart, and their pieces, cut where a window is full, fill the gaps.
+        """
+        by_fill = [(fill, held) for fill in range(self.window, 0, -1) for held in self.levels[fill]]
+        first, last, moved, full = 0, len(by_fill), 0, []
+        loose: list = []
+        while first < last and (loose or last - first > most):
+            fill, held = by_fill[first]
+            while fill < self.window and (loose or last - first > 1):
+                if not loose:
+                    last -= 1
+                    loose = list(by_fill[last][1])
+                doc, start, ids, total = loose.pop()
+                part, rest = ids[: self.window - fill], ids[self.window - fill :]
+                if len(rest):
+                    loose.append((doc, start + len(part), rest, total))
+                held.append((doc, start, part, total))
+                fill, moved = fill + len(part), moved + len(part)
+            first += 1
+            if fill < self.window:
+                loose = held
+                break
+            full.append(held)
         self.__init__(self.window)
-        return out
+        for fill, held in by_fill[first:last]:
+            self.levels[fill].append(held)
+            self.counts[fill] += 1
+            self.open += 1
+        return full, loose, moved
+
+
+def powers(pieces: list, window: int) -> list[list]:
+    """Less than a window as sequences of a power of two, which need no padding, and one of at most ``LEAST`` ids."""
+    out: list[list] = []
+    left = sum(len(p[2]) for p in pieces)
+    pieces = pieces[::-1]
+    while left:
+        size = window
+        while size > LEAST and size > left:
+            size //= 2
+        size, held = min(size, left), []
+        left -= size
+        while size:
+            doc, start, ids, total = pieces.pop()
+            part, rest = ids[:size], ids[size:]
+            if len(rest):
+                pieces.append((doc, start + len(part), rest, total))
+            held.append((doc, start, part, total))
+            size -= len(part)
+        out.append(held)
+    return out
 
 
-def recut(pieces: list, window: int, last: bool) -> tuple[list[list], list]:
-    """Windows filled by cutting pieces (doc, start, ids, total) where one is full, and what is left over."""
-    windows, held, used = [], [], 0
-    for doc, start, ids, total in pieces:
-        while len(ids):
-            part = ids[: window - used]
-            held.append((doc, start, part, total))
-            used += len(part)
-            start, ids = start + len(part), ids[len(part) :]
-            if used == window:
-                windows.append(held)
-                held, used = [], 0
-    if last and used:
-        size = window
-        while held:
-            while size > LEAST and size > used:
-                size //= 2
-            (first, *more), held = recut(held, min(size, used), False)
-            windows.append(first)
-            held = [piece for w in more for piece in w] + held
-            used = sum(len(p[2]) for p in held)
-    return windows, held
-
-
-def pack_stream(docs: Iterator[tuple[int, np.ndarray]], window: int = WINDOW, max_open: int = MAX_OPEN) -> Iterator[list]:
-    """Sequences, each a list of (doc, start, ids, total)."""
+def pack_stream(docs: Iterator[tuple[int, np.ndarray]], window: int = WINDOW, max_open: int = MAX_OPEN, moved: list[int] | None = None) -> Iterator[list]:
+    """Sequences, each a list of (doc, start, ids, total); the ids that left the window they were placed in are appended to ``moved``."""
     levels = SumOfSquares(window)
     for doc, ids in docs:
         total = len(ids)
@@ -169,13 +195,19 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], window: int = WINDOW, ma
             if full is not None:
                 yield full
         if levels.open > max_open:
-            windows, left = recut(levels.take_all(), window, False)
+            windows, left, n = levels.top_up(max_open // 2)
             yield from windows
             for piece in left:
                 full = levels.place(len(piece[2]), piece)
                 if full is not None:
                     yield full
-    yield from recut(levels.take_all(), window, True)[0]
+            if moved is not None:
+                moved.append(n)
+    windows, left, n = levels.top_up(0)
+    yield from windows
+    yield from powers(left, window)
+    if moved is not None:
+        moved.append(n)
 
 
 def _pack(ranks_path: str, window: int, end_id: int):

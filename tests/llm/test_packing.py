@@ -88,6 +88,29 @@ def test_open_windows_are_bounded():
     assert sum(sum(len(x[2]) for x in s) == 1024 for s in sequences) >= len(sequences) - 8
 
 
+def test_placements_stay():
+    """The fullest windows keep what the rule placed; little is moved, even from few documents."""
+    r = random.Random(6)
+    sizes = [r.randint(1, 1023) for _ in range(300)]
+    moved = []
+    sequences = list(packing.pack_stream(((i, np.full(n, i, np.uint32)) for i, n in enumerate(sizes)), moved=moved))
+    assert sum(moved) <= 0.2 * sum(sizes)
+    whole = {i: 0 for i in range(300)}
+    for held in sequences:
+        for doc, start, ids, total in held:
+            assert total == sizes[doc] and len(ids) and (ids == doc).all()
+            whole[doc] += len(ids)
+    assert [whole[i] for i in range(300)] == sizes
+    assert sum(n & (n - 1) != 0 for n in (sum(len(x[2]) for x in s) for s in sequences)) <= 1
+
+
+def test_ids_are_those_of_tokenizers_on_a_whole_table(spark):
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    own = packing.vocabulary()
+    for text, ids in zip(texts, reference_ids(texts), strict=True):
+        assert np.array_equal(packing.encode(text, own), ids[:-1])
+
+
 def test_long_text_is_encoded_whole(monkeypatch):
     text = "Don't stop  here, 漢字 don't 12 ab\n cd <|endoftext|> é " * 50
     whole = reference_ids([text])[0][:-1]
