@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +89,36 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return left.select(*back.values()).toDF(*back)
 
 
+def only(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to ``wanted`` by ``keys`` (nulls are equal); its other columns follow.
+
+    The folded hashes of the wanted keys are broadcast as in ``without``, so
+    rows that nothing asks for are not dealt out.
+    """
+    mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS)).cast("int").alias("__mark")
+    met = rows.select("*", mark).join(F.broadcast(wanted.select(mark).distinct()), "__mark", "left_semi").drop("__mark")
+    there = wanted.withColumnsRenamed({k: f"__{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & met[k].eqNullSafe(there[f"__{k}"])
+    return met.hint("merge").join(there, condition).drop(*[f"__{k}" for k in keys])
+
+
+def tidied(run):
+    """``run`` over batches; what it frees goes back to the system at its end, as Python workers serve task after task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, renamed: clashing extra columns go."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

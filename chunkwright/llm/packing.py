@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwright.llm.common import pick, table
+from chunkwright.llm.common import pick, table, tidied
 
 WINDOW, END_ID, MAX_OPEN, LEAST = 1024, 0, 16384, 64
 LONG_TEXT = 1_000_000
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = pick(docs, id=id_col, text=text_col)
     rows = rows.select(rows["id"].cast("long").alias("id"), "text")
-    return rows.mapInArrow(_pack(ranks_path or vocabulary(), window, end_id), _PIECES)
+    return rows.mapInArrow(tidied(_pack(ranks_path or vocabulary(), window, end_id)), _PIECES)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

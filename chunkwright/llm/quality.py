@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import pick, table
+from chunkwright.llm.common import pick, table, tidied
 
 BUCKETS, DIM, NONZERO, REACH = 4096, 48, 4, 2
 #: At most so many labelled rows are fitted on, the first by a hash of the id.
@@ -67,7 +67,7 @@ class _Buckets(dict):
     """Word -> word bucket and shape bucket in one number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         a = xxhash.xxh3_64_intdigest(word.lower()) % _WORDS
         b = _WORDS + xxhash.xxh3_64_intdigest(shape(word)) % (BUCKETS - _WORDS)
@@ -122,7 +122,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(rows: DataFrame) -> np.ndarray:
     """Unit vectors of all buckets over the whole corpus: BUCKETS rows reach the driver, whatever its size."""
-    parts = rows.mapInArrow(_count_pairs, "bucket int, sums array<double>").select("bucket", F.posexplode("sums").alias("d", "x"))
+    parts = rows.mapInArrow(tidied(_count_pairs), "bucket int, sums array<double>").select("bucket", F.posexplode("sums").alias("d", "x"))
     sums = parts.groupBy("bucket", "d").agg(F.sum(F.col("x").cast("decimal(28,0)")).alias("x"))  # whole numbers: any order gives the same sum
     vectors = np.zeros((BUCKETS, DIM), np.float32)
     found = sums.select("bucket", "d", F.col("x").cast("double").alias("x")).toArrow()
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(MAX_TRAIN)
     vectors = word_vectors(rows)
     own = rows.join(F.broadcast(chosen.select("id")), "id", "left_semi")  # at most MAX_TRAIN rows
-    found = own.mapInArrow(_vectors_of(vectors), "id long, x array<float>").groupBy("id").agg(F.min("x").alias("x"))
+    found = own.mapInArrow(tidied(_vectors_of(vectors)), "id long, x array<float>").groupBy("id").agg(F.min("x").alias("x"))
     y_of = {r["id"]: r["y"] for r in chosen.collect()}
     fitted = sorted((r["id"], r["x"]) for r in found.collect())  # at most MAX_TRAIN rows
     x = np.array([v for _, v in fitted], np.float32).reshape(len(fitted), 2 * DIM + 6)
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(_scores_of(model.vectors, model.net), "id long, score double").withColumnRenamed("id", "doc_id")
+    return rows.mapInArrow(tidied(_scores_of(model.vectors, model.net)), "id long, score double").withColumnRenamed("id", "doc_id")
 
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +272,7 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 keep[at] = model.net.scores(features(model.vectors, lengths, streams, texts).astype(np.float64)) >= threshold
             yield batch.filter(pa.array(keep))
 
-    return target.mapInArrow(run, target.schema)
+    return target.mapInArrow(tidied(run), target.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

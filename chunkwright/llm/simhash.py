@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import drop_materialised, materialise, pick, renamed, shuffle_partitions, table, without
+from chunkwright.llm.common import drop_materialised, materialise, only, pick, renamed, shuffle_partitions, table, tidied, without
 from chunkwright.llm.components import components
 from chunkwright.llm.runs import whole_runs
 
@@ -146,7 +146,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = pick(docs, id=id_col, text=text_col)
     sha = [text_digest(F.col("text")).alias("sha")] if stage else []
     rows = rows.select(rows["id"].cast("long").alias("id"), *sha, "text")
-    return rows.mapInArrow(_fingerprint(shingle, wide or stage, stage), f"id long, {'sha binary, ' if stage else ''}fp long, more long{', mins array<long>' if stage else ''}")
+    return rows.mapInArrow(tidied(_fingerprint(shingle, wide or stage, stage)), f"id long, {'sha binary, ' if stage else ''}fp long, more long{', mins array<long>' if stage else ''}")
 
 
 def text_digest(text: F.Column) -> F.Column:
@@ -251,7 +251,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int
     cut = sized.select("node", "fp", "more", "segment", "value", F.explode(_cells_of("node")).alias("cell"))
     n = 2 * shuffle_partitions(distinct.sparkSession)
     placed = cut.repartition(n, "segment", "value", "cell").sortWithinPartitions("segment", "value", "cell", "fp")
-    return placed.mapInArrow(_cells(distance, total), "u long, v long")
+    return placed.mapInArrow(tidied(_cells(distance, total)), "u long, v long")
 
 
 def _gathered(total: int):
@@ -297,7 +297,7 @@ def gathered_links(distinct: DataFrame, total: int = STAGE_TOTAL, block: int = B
         crowded = deeper.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
         cut = deeper.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(*columns, F.explode(_cells_of("node")).alias("cell"))
         placed = keyed.join(large, "key", "left_anti").select(*columns, F.lit(0).cast("long").alias("cell")).unionByName(cut)
-    return placed.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_gathered(total), "u long, v long")
+    return placed.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidied(_gathered(total)), "u long, v long")
 
 
 def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -355,7 +355,7 @@ def text_links(texts: DataFrame, shingle: int, block: int = TEXTS) -> DataFrame:
     sized = texts.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = sized.select("root", "key", "text", F.explode(_cells_of("key")).alias("cell"))
     placed = cut.repartition(2 * shuffle_partitions(texts.sparkSession), "root", "cell").sortWithinPartitions("root", "cell")
-    return placed.mapInArrow(_similar(shingle), "u long, v long")
+    return placed.mapInArrow(tidied(_similar(shingle)), "u long, v long")
 
 
 def near_classes(
@@ -389,10 +389,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.groupBy("key", "sha", "node").agg(best, F.count(F.lit(1)).alias("n"))
     texts = materialise(texts.join(candidates, texts["node"] == candidates["member"], "left").select("key", "sha", "best", "n", F.coalesce("root", "node").alias("root")), "texts")
     several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("root")
-    met = materialise(texts.join(several, "root").select("root", "key", "sha"), "candidates")
+    met = materialise(texts.join(several, "root").select("root", "key", "sha", F.col("best.id").alias("id")), "candidates")
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")
-    bodies = docs.select(text_digest(F.col(f"`{text_col}`")).alias("sha"), body).join(met, "sha").groupBy("root", "key").agg(F.any_value("text").alias("text"))
-    bodies = materialise(bodies, "bodies")
+    bodies = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("sha"), body)
+    bodies = materialise(only(bodies, met, ["id", "sha"]).select("root", "key", "text"), "bodies")
     near = components(text_links(bodies, shingle))
     roots = near.withColumnsRenamed({"node": "member", "root": "top"})
     rooted = materialise(texts.join(roots, texts["key"] == roots["member"], "left").select("key", "best", "n", F.coalesce("top", "key").alias("root")), "rooted")
