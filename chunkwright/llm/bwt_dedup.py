@@ -2,14 +2,19 @@
 
 Of every 100-byte string that occurs more than once, all but the first
 occurrence go (``repeats`` finds where the text can repeat at all, and brings
-the spans in question together).  The spans of a group are split into shards.
-Each shard has its transform: for its suffixes in order, the symbols before
-them.  The shards are merged by refining their interleave: an order of the
-shard numbers sorted by the first h symbols becomes one sorted by the first
-h + 2 if each shard's transform is read along it and the symbols read are
-distributed stably.  Where neighbours part in a pass, their common prefix has
-the length reached by then; blocks that stay together for 100 symbols are the
-repeated intervals.  No suffix is sorted again.
+the spans in question together).  A task's spans are split into shards of
+about ``SHARD`` by document.  Each shard has its transform: for its suffixes
+in order, the symbols before them.  The shards are merged by refining their
+interleave: an order of the shard numbers sorted by the first h symbols becomes
+one sorted by the first h + 2 if each shard's transform is read along it and
+the symbols read are distributed stably.  Where neighbours part in a pass,
+their common prefix has the length reached by then (to within two symbols);
+intervals whose common prefixes reach 100 symbols are the repeats.  No suffix
+is sorted again.
+
+Transforms of all suffixes of a corpus would have to be read some fifty times
+to be merged, so only spans with an anchor that occurs again, and different
+from others in their bytes, have one.
 
 Defined cases: null text is the empty text; matches never cross documents;
 texts shorter than the window lose nothing; identical rows repeat each other,
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkwright.llm.common import table
 from chunkwright.llm.repeats import Kind, without_repeats
 
-WINDOW, ANCHOR, SHARDS = 100, 32, 2
+WINDOW, ANCHOR, SHARD = 100, 32, 512
 #: Ends a span; never a byte of UTF-8.
 _END = 0xFF
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -70,24 +75,27 @@ class Transform:
 
 
 def merge(shards: list[Transform], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their first ``window`` symbols, and the number of each one's block."""
+    """Positions in the order of their first ``window`` symbols, and what each has in common with the one before.
+
+    The common prefix is that of whole passes of two symbols; ``window`` where
+    two stay together.  A border stays where it is once it is found.
+    """
     which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(x.positions) for x in shards])
-    alone = len(shards) == 1
-    block = np.zeros(len(which), np.int32)
+    all_symbols = np.concatenate([x.symbols for x in shards])
+    common = np.full(len(which), window, np.int32)
+    common[0] = 0
     symbols = np.empty(len(which), np.uint16)
     for depth in range(0, window, 2):
-        for i, shard in enumerate(shards):
-            symbols[... if alone else which == i] = shard.symbols
-        if depth + 1 == window:  # an odd length: the nearer symbol only
-            symbols &= 0xFF
-        order = np.argsort(symbols, kind="stable")
-        which, symbols_, block = which[order], symbols[order], block[order]
-        parts = (symbols_[1:] != symbols_[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate([[0], np.cumsum(parts, dtype=np.int32)])
+        symbols[np.argsort(which, kind="stable")] = all_symbols  # each shard's, in its own order
+        read = symbols & np.uint16(0xFF) if depth + 1 == window else symbols  # an odd length: the nearer symbol only
+        order = np.argsort(read, kind="stable")
+        block = np.cumsum(common < window, dtype=np.int32)[order]
+        read, which = read[order], which[order]
+        parted = np.flatnonzero((read[1:] != read[:-1]) | (block[1:] != block[:-1])) + 1
+        common[parted] = np.where(common[parted] < window, common[parted], depth)
     positions = np.empty(len(which), np.int64)
-    for i, shard in enumerate(shards):
-        positions[which == i] = shard.positions
-    return positions, block
+    positions[np.argsort(which, kind="stable")] = np.concatenate([x.positions for x in shards])
+    return positions, common
 
 
 def repeated(spans: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +103,14 @@ def repeated(spans: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) + 1 for x in spans])
     text = np.frombuffer(bytes([_END]).join(spans) + bytes([_END]), np.uint8)
     ends = np.cumsum(lengths) - 1
-    cuts = sorted({0, *(len(spans) * i // SHARDS for i in range(1, SHARDS)), len(spans)})
+    step = max(SHARD, -(-len(spans) // 255))
     shards = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
+    for a in range(0, len(spans), step):
+        b = min(a + step, len(spans))
         base = ends[a] - lengths[a] + 1
         shards.append(Transform(text[base : ends[b - 1] + 1], ends[a:b] - base, int(base)))
-    positions, block = merge(shards, window)
+    positions, common = merge(shards, window)
+    block = np.cumsum(common < window)
     of = np.searchsorted(ends, positions)
     inside = positions + window <= ends[of]
     positions, block = positions[inside], block[inside]
@@ -125,14 +135,14 @@ def _cut(id_: int, text: bytes, runs: list[tuple[int, int]]) -> dict:
     return {"doc_id": id_, "n_bytes": len(text), "n_removed": len(text) - len(left), "n_spans": len(runs), "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode("utf-8", "replace")}
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: sizes, the digest of the bytes kept, and the text kept.
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
+    """One row per document: sizes, the digest of the bytes kept, and, if asked for, the text kept.
 
     ``kept`` shows a character cut in two as a replacement sign; the digest is
     of the bytes.
     """
-    return without_repeats(docs, KIND, _cut, _SCHEMA, id_col, text_col)
+    return without_repeats(docs, KIND, _cut, _SCHEMA if kept else _SCHEMA.removesuffix(", kept string"), id_col, text_col)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_array_dedup(table(spark, sf_dir, "documents"), kept=False)

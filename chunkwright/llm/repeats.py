@@ -1,24 +1,23 @@
 """Repeated windows of a corpus: what the suffix-array and the substring dedup share.
 
-1. Every anchor (see ``anchors``) is emitted with a hash of the text that its
-   windows span.
-2. Anchors meet by k-gram.  Where all spans are the same text, or the k-gram
-   is alone, that settles the windows.  Of spans that differ, one
-   representative of each is left open (some 4 % of all anchors here).
-3. The open representatives fetch their text and meet by k-gram again; a
-   kernel (merged Burrows-Wheeler transforms, or suffix trees) finds their
-   equal windows.
-4. The windows found are joined to the documents and cut out.
-
-Two spans count as the same text if 128 bits of hash agree (k-gram and span).
-
-Frequent k-grams, found in a sample of the documents (which only steers how
-rows are dealt, never what is found), are dealt to many tasks.  Each task
-leaves representatives.  Of a k-gram with up to ``SPANS`` of these they go on
-like all others, in one task.  Those of a k-gram with more go on by window:
-the windows meet by their own hash, first dealt to many tasks again, then the
-representatives of those.  So no task holds more than its share of a k-gram,
-however often it occurs.
+1. Every anchor (see ``anchors``) is emitted with its k-gram.  Equal windows
+   have equal k-grams at their anchors, so a k-gram that occurs once settles
+   that its windows do not repeat; those anchors go no further.
+2. Each anchor left fetches its span, the text that its windows cover, and the
+   spans meet by k-gram.  Spans with the same bytes are one span that occurs
+   several times.  A kernel (merged Burrows-Wheeler transforms, or suffix
+   trees) finds the equal windows of the different spans.
+3. The windows found are joined to the documents and cut out.
+
+Hashes only decide which task a span goes to; every repeat is found by bytes.
+
+The k-gram is the prefix that splits the suffixes into groups.  A frequent one
+(found in a sample of the documents, which only steers how rows are dealt) has
+as many parts as its occurrences need; each part is solved by itself and
+leaves one representative of each span.  The representatives of a k-gram meet
+again.  If they are over ``SPANS``, more than one task should hold, the prefix
+is extended to the whole window: every window of theirs is a span of its own,
+met by its own text, in parts and then by representatives again.
 
 A document is a row.  Where ids repeat, rows are numbered by (id, text).
 """
@@ -35,18 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.llm.anchors import CHUNK_BITS, anchors
-from chunkwright.llm.common import materialise, pick, shuffle_partitions
+from chunkwright.llm.common import drop_materialised, materialise, pick, shuffle_partitions, tidied
 from chunkwright.llm.runs import whole_runs
 
-#: One document in so many steers how frequent k-grams are dealt; their number is bounded.
-SAMPLE, HOT_LEAST, HOT_KEYS, SALTS = 0.02, 20, 4096, 64
-#: Different spans of one k-gram that one task takes; offsets that share a test before the kernel.
+#: One document in so many steers how frequent k-grams are dealt.  At most HOT_KEYS are split into parts of about PART
+#: spans; any other holds less than 1 / HOT_KEYS of all.
+SAMPLE, HOT_LEAST, HOT_KEYS, PART = 0.02, 20, 100_000, 512
+#: Representatives of one prefix that one task takes; offsets that share a test before the kernel.
 SPANS, STEP = 20_000, 4
-_ANCHORS = "gram long, span long, row long, at long"
-_FOUND = "kind int, gram long, span long, row long, at long"
-_RANGES = "row long, first long, last long"
+_ANCHORS = "gram long, row long, at long"
+_SPANS = "gram long, salt int, row long, at long, text binary"
+_SOLVED = "kind int, gram long, row long, at long, last long, text binary"
 #: at: position of the anchor, windows before it, windows in all, by these factors.
 _A, _B = 1 << 16, 1 << 8
+#: The salt of a prefix that one task has whole.
+WHOLE = -1
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ class Kind:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -112,92 +114,86 @@ def _find_anchors(kind: Kind):
                 units = [_units(x.as_py() or b"", kind.by_words, hashes) for x in texts[at : at + 256]]
                 for row, offset, lengths, laid in _pieces(rows[at : at + 256], units, kind.window):
                     doc, pos, first, last, gram = anchors(laid, lengths, kind.window, kind.k)
-                    if not len(doc):
-                        continue
-                    raw, size = laid.tobytes(), laid.itemsize
-                    base = (np.cumsum(lengths) - lengths)[doc]
-                    starts, ends = ((base + first) * size).tolist(), ((base + last + kind.window) * size).tolist()
-                    before = pos - first
-                    span = np.array([xxhash.xxh3_64_intdigest(raw[a:b], s) for a, b, s in zip(starts, ends, before.tolist(), strict=True)], np.uint64)
-                    packed = (pos + offset[doc]) * _A + before * _B + (last - first)
-                    yield pa.record_batch([_signed(gram), _signed(span), pa.array(row[doc]), pa.array(packed)], names=["gram", "span", "row", "at"])
+                    if len(doc):
+                        packed = (pos + offset[doc]) * _A + (pos - first) * _B + (last - first)
+                        yield pa.record_batch([_signed(gram), pa.array(row[doc]), pa.array(packed)], names=["gram", "row", "at"])
 
     return run
 
 
-def _decide(keep_first: bool, final: bool):
-    """Of rows in order of (gram, span, row, at): ranges that go for certain (kind 0), and what is left open (kind 1).
+def _repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of gram, those whose gram occurs again."""
+    for part in whole_runs(batches, ["gram"], 50_000):
+        gram = part["gram"].to_numpy()
+        same = np.concatenate([[False], gram[1:] == gram[:-1], [False]])
+        at = np.flatnonzero(same[1:] | same[:-1])
+        if len(at):
+            yield from part.take(pa.array(at)).combine_chunks().to_batches()
 
-    A batch may hold a part of a k-gram's rows only; then nothing but equal
-    spans is settled and the representatives stay open.  ``final``: the k-grams
-    come whole.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = whole_runs(batches, ["gram"], 50_000) if final else (pa.Table.from_batches([b]) for b in batches if b.num_rows)
-        for part in tables:
-            gram, span = part["gram"].to_numpy(), part["span"].to_numpy()
-            n = len(gram)
-            new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-            new = new_gram | np.concatenate([[True], span[1:] != span[:-1]])
-            of_gram, of_class = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-            several = np.bincount(of_gram[new], minlength=of_gram[-1] + 1) > 1
-            if not final:
-                several[0] = several[-1] = True
-            hot = part["hot"].to_numpy() if "hot" in part.column_names else np.zeros(n, bool)
-            more = np.bincount(of_class)[of_class] > 1
-            gone = ~new if keep_first else more
-            open_ = new & (several[of_gram] | hot) if not final else np.zeros(n, bool)
-            for kind, at in ((0, np.flatnonzero(gone)), (1, np.flatnonzero(open_))):
-                if len(at):
-                    kinds = np.full(len(at), kind, np.int32)
-                    if kind:
-                        kinds[hot[at]] = 2
-                    yield pa.record_batch([pa.array(kinds), *[pa.array(part[c].to_numpy()[at]) for c in ("gram", "span", "row", "at")]], names=["kind", "gram", "span", "row", "at"])
+def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last window of anchors."""
+    pos, rest = at // _A, at % _A
+    first = pos - rest // _B
+    return first, first + rest % _B
 
-    return run
+
+def _cutter(text: bytes, by_words: bool, window: int) -> Callable[[int, int], bytes]:
+    """Text from window ``first`` to the end of window ``last``."""
+    if not by_words:
+        return lambda first, last: text[first : last + window]
+    words = text.split()
+    joined = b" ".join(words)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(x + 1 for x in ends)]
+    return lambda first, last: joined[starts[first] : ends[last + window - 1]]
 
 
-def _dealt(rows: DataFrame, n: int, salted: bool) -> DataFrame:
-    """Rows of a k-gram together, those of frequent ones by parts."""
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0)) if salted else F.lit(0)
-    return rows.withColumn("salt", salt.cast("int")).repartition(n, "gram", "salt").drop("salt").sortWithinPartitions("gram", "span", "row", "at")
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _fetch(kind: Kind, by_window: bool):
-    """The texts of open representatives: one row each, or with ``by_window`` one for every window."""
+def _fetch(kind: Kind):
+    """The spans of the anchors asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "span", "row", "at"] + ["text"] * (not by_window)
         for batch in batches:
-            out: list[tuple] = []
-            for row, text, asked in zip(batch.column("row"), batch.column("text"), batch.column("asked"), strict=True):
-                data = (text.as_py() or "").encode()
-                words = data.split() if kind.by_words else data
-                for x in asked.as_py():
-                    pos, rest = divmod(x["at"], _A)
-                    first = pos - rest // _B
-                    last = first + rest % _B
-                    if not by_window:
-                        own = words[first : last + kind.window]
-                        out.append((x["gram"], 0, row.as_py(), x["at"], b" ".join(own) if kind.by_words else own))
-                        continue
-                    for start in range(first, last + 1):
-                        own = words[start : start + kind.window]
-                        h = xxhash.xxh3_128_intdigest(b" ".join(own) if kind.by_words else own)
-                        out.append(((h & ((1 << 64) - 1)) - (1 << 63), (h >> 64) - (1 << 63), row.as_py(), start * _A))
-                if len(out) > 20_000:
-                    yield _rows(out, names)
-                    out = []
-            if out:
-                yield _rows(out, names)
+            asked, texts, rows = batch.column("asked"), batch.column("text").cast(pa.binary()), batch.column("row").to_numpy()
+            sizes = asked.value_lengths().to_numpy()
+            begin = 0
+            while begin < len(rows):  # about 20,000 spans at a time
+                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 20_000)))
+                some = asked.slice(begin, end - begin).flatten()
+                gram, salt, at = (some.field(i).to_numpy() for i in range(3))
+                first, last = (x.tolist() for x in _windows(at))
+                spans, n = [], 0
+                for k in range(begin, end):
+                    cut = _cutter(texts[k].as_py() or b"", kind.by_words, kind.window)
+                    to = n + int(sizes[k])
+                    spans += map(cut, first[n:to], last[n:to])
+                    n = to
+                yield _batch([gram, salt, np.repeat(rows[begin:end], sizes[begin:end]), at, spans], _SPANS)
+                begin = end
 
     return run
 
 
-def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"text": pa.binary()}
-    return pa.record_batch([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+def _single(kind: Kind):
+    """Every window of the spans as a span of its own, its prefix the whole window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            first, last = _windows(batch.column("at").to_numpy())
+            for i, (row, parts, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("parts").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                cut = _cutter(text, kind.by_words, kind.window)
+                own = [cut(w, w) for w in range(int(last[i] - first[i]) + 1)]
+                n = len(own)
+                yield _batch([[digest(x) - (1 << 63) for x in own], [row % parts] * n, [row] * n, (np.arange(n) + first[i]) * _A, own], _SPANS)
+
+    return run
 
 
 def shared_parts(grams: np.ndarray, texts: list[bytes], before: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,28 +225,47 @@ def shared_parts(grams: np.ndarray, texts: list[bytes], before: np.ndarray, coun
 
 
 def _solve(kind: Kind):
+    """Ranges of windows that go (kind 0), and representatives of the spans of prefixes that come in parts (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches, ["gram"], kind.chunk):
-            at = part["at"].to_numpy()
-            order = np.lexsort((at, part["row"].to_numpy()))
+        for part in whole_runs(batches, ["gram", "salt"], kind.chunk):
+            gram, salt, row, at = (part[c].to_numpy() for c in ("gram", "salt", "row", "at"))
             texts = part["text"].to_pylist()
-            rows = part["row"].to_numpy()[order]
-            pos, rest = at[order] // _A, at[order] % _A
-            first = pos - rest // _B
-            texts = [texts[i] for i in order]
+            first, last = _windows(at)
+            group = np.concatenate([[0], np.cumsum((gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))])
+            known: dict[tuple[int, bytes], int] = {}
+            of = np.array([known.setdefault(x, len(known)) for x in zip(group.tolist(), texts, strict=True)])
+            times = np.bincount(of)
+            heads = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1) > 0)  # the first of each span, rows being in order
+            gone = np.ones(len(of), bool) if kind.keep_first else times[of] > 1
+            if kind.keep_first:
+                gone[heads] = False
+            gone = np.flatnonzero(gone)
+            if len(gone):
+                yield _batch([np.zeros(len(gone), np.int32), gram[gone], row[gone], first[gone], last[gone], [None] * len(gone)], _SOLVED)
+            kept = heads[salt[heads] != WHOLE]
+            if len(kept):
+                yield _batch([np.ones(len(kept), np.int32), gram[kept], row[kept], at[kept], np.zeros(len(kept), np.int64), [texts[i] for i in kept]], _SOLVED)
+            met = heads[np.bincount(group[heads])[group[heads]] > 1]
+            if not len(met):
+                continue
+            met = met[np.lexsort((at[met], row[met]))]
+            spans, begin = [texts[i] for i in met], first[met]
+            rows = row[met]
             if not kind.by_words:
-                who, begin, end = shared_parts(part["gram"].to_numpy()[order], texts, rest // _B, rest % _B + 1, kind.window)
-                texts = [texts[i][a : b + kind.window] for i, a, b in zip(who.tolist(), begin.tolist(), end.tolist(), strict=True)]
-                rows, first = rows[who], first[who] + begin
-            if not len(texts):
+                rest = at[met] % _A
+                who, skip, end = shared_parts(gram[met], spans, rest // _B, rest % _B + 1, kind.window)
+                spans = [spans[i][a : b + kind.window] for i, a, b in zip(who.tolist(), skip.tolist(), end.tolist(), strict=True)]
+                rows, begin = rows[who], begin[who] + skip
+            if not len(spans):
                 continue
-            span, start = kind.kernel(texts, kind.window)
+            span, start = kind.kernel(spans, kind.window)
             if len(span):
-                begins = first[span] + start
-                cut = np.concatenate([[True], (span[1:] != span[:-1]) | (start[1:] != start[:-1] + 1)])
-                heads = np.flatnonzero(cut)
+                begins = begin[span] + start
+                heads = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (start[1:] != start[:-1] + 1)]))
                 tails = np.concatenate([heads[1:] - 1, [len(span) - 1]])
-                yield pa.record_batch([pa.array(rows[span[heads]]), pa.array(begins[heads]), pa.array(begins[tails])], names=["row", "first", "last"])
+                n = len(heads)
+                yield _batch([np.zeros(n, np.int32), np.zeros(n, np.int64), rows[span[heads]], begins[heads], begins[tails], [None] * n], _SOLVED)
 
     return run
 
@@ -263,53 +278,50 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(rows.orderBy("id", "text").select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
 
 
-def _ranges(found: DataFrame) -> DataFrame:
-    pos, rest = F.floor(F.col("at") / _A), F.pmod("at", F.lit(_A))
-    first = pos - F.floor(rest / _B)
-    return found.select("row", first.alias("first"), (first + F.pmod(rest, F.lit(_B))).alias("last"))
-
-
 def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     """row, first, last: the ranges of window starts that go, of rows (row, text)."""
-    spark = rows.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(rows.sparkSession)
     if not 0 < kind.window - kind.k < _B:
         raise ValueError("a window must be longer than its anchor, by less than 256 units")
-    find = _find_anchors(kind)
+    find = tidied(_find_anchors(kind))
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000)).mapInArrow(find, _ANCHORS)
-    many = materialise(sample.groupBy("gram").count(), "grams")
-    total, most = many.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
-    least = max(HOT_LEAST, total // (8 * n))
-    found = rows.mapInArrow(find, _ANCHORS)
-    if most >= least:
-        frequent = many.filter(F.col("count") >= least).orderBy(F.desc("count")).limit(HOT_KEYS).select("gram", F.lit(True).alias("hot"))
-        found = found.join(F.broadcast(frequent), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # at most HOT_KEYS rows
-    else:
-        found = found.withColumn("hot", F.lit(False))
-    settled = materialise(_dealt(found, n, True).mapInArrow(_decide(kind.keep_first, False), _FOUND), "settled")
-    out = _ranges(settled.filter("kind = 0"))
-    wide = settled.filter("kind = 2").groupBy("gram").count().filter(F.col("count") > SPANS).select("gram", F.lit(True).alias("wide"))
-    by_window = not wide.isEmpty()
-    if by_window:
-        settled = settled.join(F.broadcast(wide), "gram", "left")  # at most HOT_KEYS rows
-    else:
-        settled = settled.withColumn("wide", F.lit(None).cast("boolean"))
-    settled = settled.withColumn("kind", F.when((F.col("kind") == 2) & F.col("wide").isNull(), 1).otherwise(F.col("kind")))
-    texts = rows.select("row", "text")
-
-    def asked(which: int) -> DataFrame:
-        open_ = settled.filter(F.col("kind") == which)
-        return open_.groupBy("row").agg(F.collect_list(F.struct("gram", "at")).alias("asked")).join(texts, "row")
-
-    spans = asked(1).mapInArrow(_fetch(kind, False), "gram long, span long, row long, at long, text binary")
-    solved = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_solve(kind), _RANGES)
-    out = out.unionByName(solved)
-    if by_window:
-        windows = asked(2).mapInArrow(_fetch(kind, True), _ANCHORS).withColumn("hot", F.lit(True))
-        first = materialise(_dealt(windows, n, True).mapInArrow(_decide(kind.keep_first, False), _FOUND), "settled")
-        last = _dealt(first.filter("kind > 0").select("gram", "span", "row", "at"), n, False).mapInArrow(_decide(kind.keep_first, True), _FOUND)
-        out = out.unionByName(_ranges(first.filter("kind = 0"))).unionByName(_ranges(last.filter("kind = 0")))
-    return out
+    parts = F.ceil(F.count(F.lit(1)) / (SAMPLE * PART)).cast("int").alias("parts")
+    frequent = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"), parts).filter(F.col("seen") >= HOT_LEAST)
+    frequent = materialise(frequent.orderBy(F.desc("seen"), "gram").limit(HOT_KEYS).select("gram", "parts"), "grams")
+    found = rows.mapInArrow(find, _ANCHORS).join(F.broadcast(frequent), "gram", "left")  # at most HOT_KEYS rows
+    found = found.select("gram", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(WHOLE)).alias("salt"), "row", "at")
+    alone = found.filter(F.col("salt") == WHOLE).repartition(n, "gram").sortWithinPartitions("gram")
+    schema = "gram long, salt int, row long, at long"
+    kept = alone.mapInArrow(_repeated_grams, schema)
+    if not frequent.isEmpty():
+        kept = kept.unionByName(found.filter(F.col("salt") != WHOLE))
+    asked = kept.groupBy("row").agg(F.collect_list(F.struct("gram", "salt", "at")).alias("asked"))
+    spans = asked.join(rows.select("row", "text"), "row").select("row", "asked", "text").mapInArrow(tidied(_fetch(kind)), _SPANS)
+
+    def solved(spans: DataFrame) -> DataFrame:
+        placed = spans.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt", "row", "at")
+        return materialise(placed.mapInArrow(tidied(_solve(kind)), _SOLVED), "solved")
+
+    out = [solved(spans)]
+    if not frequent.isEmpty():
+        left = out[0].filter("kind = 1").select("gram", F.lit(WHOLE).alias("salt"), "row", "at", "text")
+        wide = left.groupBy("gram").count().filter(F.col("count") > SPANS).select("gram", F.ceil(F.col("count") / SPANS).cast("int").alias("parts"))
+        wide = materialise(wide, "wide")
+        by_window = left.join(F.broadcast(wide), "gram")  # at most HOT_KEYS rows
+        out.append(solved(left.join(F.broadcast(wide), "gram", "left_anti")))
+        if not wide.isEmpty():
+            single = by_window.select("row", "at", "text", "parts").mapInArrow(_single(kind), _SPANS)
+            out.append(solved(single))
+            out.append(solved(out[-1].filter("kind = 1").select("gram", F.lit(WHOLE).alias("salt"), "row", "at", "text")))
+        drop_materialised(wide)
+    ranges = [x.filter("kind = 0").select("row", F.col("at").alias("first"), "last") for x in out]
+    whole = ranges[0]
+    for x in ranges[1:]:
+        whole = whole.unionByName(x)
+    whole = materialise(whole, "ranges")
+    for x in [frequent, *out]:
+        drop_materialised(x)
+    return whole
 
 
 def covered(ranges: list[dict], window: int) -> list[tuple[int, int]]:
@@ -326,7 +338,7 @@ def covered(ranges: list[dict], window: int) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, kind: Kind, cut: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``cut(id, text, runs)`` gives a row of ``schema`` for each document, runs being what is covered."""
     rows = numbered(docs, id_col, text_col)
-    ranges = materialise(repeated_windows(rows, kind), "ranges")
+    ranges = repeated_windows(rows, kind)
     flags = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,5 +351,5 @@ def without_repeats(docs: DataFrame, kind: Kind, cut: Callable, schema: str, id_
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return rows.join(flags, "row", "left").select("id", "text", "ranges").mapInArrow(run, schema)
+    return rows.join(flags, "row", "left").select("id", "text", "ranges").mapInArrow(tidied(run), schema)
 
