@@ -1,4 +1,7 @@
 import random
+import re
+import time
+from collections import Counter
 
 from chunkwright.llm import html_extract
 
@@ -49,12 +52,74 @@ def test_copies_on_a_host_keep_their_article():
 
 
 def test_classes_have_equal_vectors_and_one_order():
-    pages = [html_extract.Page(page(i, "<p>a</p>" * (i + 1))) for i in range(4)]
-    classes = dict((v, t) for v, t in html_extract.equivalence_classes(pages))
-    assert "</html/body/div.layout/article" in classes[(1, 1, 1, 1)]
-    assert classes[(1, 2, 3, 4)][0] in ("a", "</html/body/div.layout/article/p")
-    nested = html_extract.template(pages)
-    assert nested["</html/body/div.layout/article"]
+    pages = [html_extract.Page(page(i, "<p>a</p>" * (i + 1))) for i in range(4)] + [html_extract.Page("")]
+    classes = html_extract.equivalence_classes(pages)
+    for on, tokens in classes:
+        for i in on:
+            assert [t for t in pages[i].order if t in set(tokens)] == tokens
+    skeleton, nested = html_extract.template(pages)
+    key = pages[0].keys[pages[0].tags.index("article")]
+    assert key in skeleton and pages[0].keys[pages[0].tags.index("p")] not in skeleton
+    assert html_extract.main_slot(pages)[0] == key
+
+
+def plain_page(r, i):
+    """No article tag, no telling name: two columns, a part before and one after that vary, and a notice on every page."""
+    words = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet elit sed do magna".split()) + str(r.randrange(99)) for _ in range(n))
+    parts = [words(30) for _ in range(r.randint(2, 5))]
+    blocks = [f"<p>{x}</p>" for x in parts]
+    blocks.insert(1, '<div class="kf">All texts are free to use, see the terms.</div>')
+    optional = '<div class="kg"><p>Read on tomorrow</p></div>' if i % 5 else ""
+    html = f"<html><body><div class=ka><span>{words(4)}</span><span>One site of many</span></div><div class=kb><div class=kc>{words(8)}</div><div class=kd>{''.join(blocks)}{optional}</div></div><div class=ke>{words(6)}</div></body></html>"
+    return html, " ".join(parts)
+
+
+def deduced(sources):
+    """Brute force by text alone: of the div with most that varies, the paragraphs and divs that no other page has."""
+    found = [re.findall(r"<(p|div)(?: class=\"?(\w+)\"?)?>([^<]+)", s) for s in sources]
+    times = Counter(x for f in found for x in set(f))
+    held = Counter()
+    for f in found:
+        for tag, name, text in f:
+            held[tag if tag == "p" else name] += len(text) * (times[tag, name, text] == 1)
+    best = held.most_common(1)[0][0]
+    return [" ".join(x[2] for x in f if (x[0] if x[0] == "p" else x[1]) == best and times[x] == 1) for f in found]
+
+
+def test_template_alone_finds_the_text_of_plain_pages(monkeypatch):
+    r = random.Random(5)
+    sources, expected = map(list, zip(*(plain_page(r, i) for i in range(20)), strict=True))
+    assert html_extract.extract_block(sources) == expected == deduced(sources)
+    odd = ["", "<html><body><h1>404</h1></body></html>"]
+    got = html_extract.extract_block([odd[0], *sources, odd[1]])
+    assert got == ["", *expected, "404"]
+    monkeypatch.setattr(html_extract, "_is_other", lambda *a: False)
+    assert html_extract.extract_block(sources) == expected
+    monkeypatch.setattr(html_extract, "template", lambda pages: ([], {}))
+    assert all(a != b for a, b in zip(html_extract.extract_block(sources), expected, strict=True))
+
+
+def test_article_tag_does_not_override_the_slot():
+    r = random.Random(6)
+    sources, expected = zip(*(plain_page(r, i) for i in range(12)), strict=True)
+    framed = [s.replace("<div class=ka>", "<article><p>Pinned: how to write for us</p></article><div class=ka>") for s in sources]
+    assert html_extract.extract_block(framed) == list(expected)
+
+
+def test_near_copies_keep_their_article():
+    words = " ".join(f"w{i}" for i in range(200))
+    sources = [page(i, f"<p>{words} {i}</p><p>{words[::-1]}</p>") for i in range(8)]
+    assert html_extract.extract_block(sources) == [f"{words} {i} {words[::-1]}" for i in range(8)]
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    def seconds(source):
+        at = time.perf_counter()
+        html_extract.extract_block([source])
+        return time.perf_counter() - at
+
+    for unit in ("<div>", "<a ", "<b>x<p></p>", "<li>x", '<a "', "<!", "</x>", "<i></b>"):
+        assert seconds(unit * 16_000) < 10 * seconds(unit * 4_000) + 0.5, unit
 
 
 def test_large_host_is_many_blocks(spark):
