@@ -1,11 +1,12 @@
 """Exact top-k inner products by tiled matrix products.
 
-Vectors are quantised to floor(256 * x).  Queries are read in blocks of a fixed
-number of bytes, so what is broadcast has a bound that does not grow with the
-table; for each block every shard of the candidates is multiplied tile by tile
-and keeps k scores per query (partial selection).  The lists of the shards are
-merged per query in a tree of a fixed fan-in, so no task sees more than
-``FAN_IN`` lists of a query at once.
+Vectors are quantised to floor(256 * x).  Queries and candidates are dealt to
+the cells of a grid: queries to blocks of about ``BLOCK_BYTES``, candidates to
+shards of about ``SHARD_BYTES``, and every block meets every shard in one cell,
+both numbers being counted first.  A cell holds its block of queries and reads
+its candidates tile by tile, keeping k scores a query (partial selection).  The
+lists of the shards are merged per query in a tree with at most ``FAN_IN``
+lists a node, as many levels as the shards need.  Nothing passes the driver.
 
 Defined cases: null vectors and vectors with a null or non-finite component
 take no part; a vector meets those of its own length only; the rows with a
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import pick, table
+from chunkwright.llm.common import pick, shuffle_partitions, table, tidied
 
-#: Bytes of query vectors per pass, rows per tile, lists that one merge takes.
-BLOCK_BYTES, TILE, FAN_IN = 16_000_000, 4096, 32
-_PARTIAL = "query_id long, part int, top array<struct<score: long, vec_id: long>>"
+#: Bytes of query vectors in a cell, of candidates in a cell, rows per tile, lists that one merge takes.
+BLOCK_BYTES, SHARD_BYTES, TILE, FAN_IN = 16_000_000, 64_000_000, 4096, 32
+_PARTIAL = "query_id long, shard int, top array<struct<score: long, vec_id: long>>"
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -65,41 +66,67 @@ def _by_length(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]
     return {int(d): (ids[at], flat[(starts[at][:, None] + np.arange(d))]) for d in np.unique(lengths) for at in [np.flatnonzero(lengths == d)]}
 
 
-def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+class _Best:
+    """The k best candidates so far of each query of a cell."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, tile_ids: np.ndarray, tile: np.ndarray) -> None:
+        for q_ids, q in self.queries.get(tile.shape[1], ()):
+            for first in range(0, len(q_ids), 1024):
+                some = q_ids[first : first + 1024]
+                scores = _products(q[first : first + 1024], tile)
+                own = some[:, None] == tile_ids[None, :]
+                for i, q_id in enumerate(some.tolist()):
+                    s, c = scores[i], tile_ids
+                    if own[i].any():
+                        s, c = s[~own[i]], c[~own[i]]
+                    if q_id in self.lists:
+                        held = self.lists[q_id]
+                        if len(held[0]) == self.k:
+                            better = s >= held[0][-1]
+                            s, c = s[better], c[better]
+                        if not len(s):
+                            continue
+                        s, c = np.concatenate([held[0], s]), np.concatenate([held[1], c])
+                    top = select_top(s, c, self.k)
+                    self.lists[q_id] = (s[top], c[top])
+
+    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
+        found = [(q, shard, [{"score": int(s), "vec_id": int(c)} for s, c in zip(*lists, strict=True)]) for q, lists in self.lists.items() if len(lists[0])]
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())])))
+        for at in range(0, len(found), 2000):
+            cols = list(zip(*found[at : at + 2000], strict=True))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "shard", "top"])
+
+
+def _scan(k: int):
+    """Rows come in order of (block, shard, kind): of a cell first its queries, then its candidates."""
 
-        part = TaskContext.get().partitionId()
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best = None, _Best(k)
         for batch in batches:
-            for d, (ids, matrix) in _by_length(batch).items():
-                if d not in queries:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "shard", "kind")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
                     continue
-                q_ids, q = queries[d]
-                for at in range(0, len(ids), TILE):
-                    tile_ids, tile = ids[at : at + TILE], matrix[at : at + TILE]
-                    for first in range(0, len(q_ids), 1024):
-                        scores = _products(q[first : first + 1024], tile)
-                        own = q_ids[first : first + 1024, None] == tile_ids[None, :]
-                        for i, q_id in enumerate(q_ids[first : first + 1024]):
-                            s, c = scores[i], tile_ids
-                            if own[i].any():
-                                s, c = s[~own[i]], c[~own[i]]
-                            if q_id in best:
-                                at_least = best[q_id][0][-1] if len(best[q_id][0]) == k else None
-                                if at_least is not None:
-                                    better = s >= at_least
-                                    s, c = s[better], c[better]
-                                if not len(s):
-                                    continue
-                                s, c = np.concatenate([best[q_id][0], s]), np.concatenate([best[q_id][1], c])
-                            top = select_top(s, c, k)
-                            best[q_id] = (s[top], c[top])
-        rows = [(int(q), part, [{"score": int(s), "vec_id": int(c)} for s, c in zip(*lists, strict=True)]) for q, lists in best.items() if len(lists[0])]
-        for at in range(0, len(rows), 2000):
-            cols = list(zip(*rows[at : at + 2000], strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())])))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "part", "top"])
+                block, shard, kind = keys[:, a].tolist()
+                if (block, shard) != cell:
+                    if cell:
+                        yield from best.rows(cell[1])
+                    cell, best = (block, shard), _Best(k)
+                for d, (ids, matrix) in _by_length(batch.slice(a, b - a)).items():
+                    if kind == 0:
+                        best.queries[d].append((ids, matrix))
+                    elif d in best.queries:
+                        for at in range(0, len(ids), TILE):
+                            best.add(ids[at : at + TILE], matrix[at : at + TILE])
+        if cell:
+            yield from best.rows(cell[1])
 
     return run
 
@@ -111,40 +138,30 @@ def _merge(lists: DataFrame, keys: list, k: int) -> DataFrame:
     return lists.groupBy(*keys).agg(top.alias("top"))
 
 
-def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Blocks of queries, each at most ``block_bytes`` of vectors (or one query), never more than one in memory."""
-    held: dict[int, list] = defaultdict(list)
-    used = 0
-
-    def packed():
-        return {d: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.int64).reshape(len(rows), d)) for d, rows in held.items()}
-
-    for row in queries.toLocalIterator():
-        held[len(row["v"])].append((row["id"], row["v"]))
-        used += 8 * len(row["v"]) + 16
-        if used >= block_bytes:
-            yield packed()
-            held.clear()
-            used = 0
-    if held:
-        yield packed()
+def _parts(rows: DataFrame, size: int) -> int:
+    """How many parts of about ``size`` bytes the vectors of (id, v) fill."""
+    return 1 + (rows.agg(F.coalesce(F.sum(8 * F.size("v") + 16), F.lit(0))).first()[0] - 1) // size
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_topk(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, fan_in: int = FAN_IN
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best candidates."""
-    spark = vectors.sparkSession
     candidates = quantised(vectors, id_col, vec_col)
     asked = quantised(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    parts, blocks = None, 0
-    for block in query_blocks(asked, block_bytes):
-        part = candidates.mapInArrow(_scan(block, k), _PARTIAL)
-        parts = part if parts is None else parts.unionByName(part)
-        blocks += 1
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = _merge(parts, ["query_id", F.pmod(F.xxhash64("part"), F.lit(FAN_IN)).alias("bucket")], k)
-    merged = _merge(merged, ["query_id"], k)
-    return merged.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    n = shuffle_partitions(vectors.sparkSession)
+    blocks = max(1, _parts(asked, block_bytes))
+    shards = max(_parts(candidates, shard_bytes), -(-n // blocks))  # as many cells as there are tasks
+    dealt = lambda by, parts: F.pmod(F.xxhash64(F.lit("cell"), by), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    cells = asked.select(dealt("id", blocks).alias("block"), every(shards).alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    cells = cells.unionByName(candidates.select(every(blocks).alias("block"), dealt("id", shards).alias("shard"), F.lit(1).alias("kind"), "id", "v"))
+    placed = cells.repartition(max(n, blocks * shards), "block", "shard").sortWithinPartitions("block", "shard", "kind")
+    lists = placed.mapInArrow(tidied(_scan(k)), _PARTIAL)
+    while shards > 1:  # a level of the tree
+        shards = -(-shards // fan_in)
+        lists = _merge(lists, ["query_id", F.floor(F.col("shard") / fan_in).cast("int").alias("shard")], k)
+    return lists.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

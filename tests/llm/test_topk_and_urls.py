@@ -34,9 +34,8 @@ def test_op3_equals_brute_force(spark, tables):
 def test_blocks_and_merges_do_not_matter(spark, monkeypatch):
     rows = vectors(300)
     monkeypatch.setattr(topk, "TILE", 16)
-    monkeypatch.setattr(topk, "FAN_IN", 2)
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).repartition(9)
-    got = topk.exact_topk(frame, frame.filter("vec_id % 50 = 0"), 5, block_bytes=200)
+    got = topk.exact_topk(frame, frame.filter("vec_id % 50 = 0"), 5, block_bytes=200, shard_bytes=900, fan_in=2)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
