@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.llm.anchors import CHUNK_BITS, anchors
-from chunkwright.llm.common import drop_materialised, materialise, pick, shuffle_partitions, tidied
+from chunkwright.llm.common import MARKS, drop_materialised, materialise, pick, shuffle_partitions, tidied
 from chunkwright.llm.runs import whole_runs
 
 #: One document in so many steers how frequent k-grams are dealt.  At most HOT_KEYS are split into parts of about PART
@@ -340,6 +340,11 @@ def without_repeats(docs: DataFrame, kind: Kind, cut: Callable, schema: str, id_
     rows = numbered(docs, id_col, text_col)
     ranges = repeated_windows(rows, kind)
     flags = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    mark = F.pmod(F.xxhash64("row"), F.lit(MARKS)).cast("int").alias("mark")
+    marks = F.broadcast(ranges.select(mark).distinct())  # at most MARKS rows: only documents that may lose text are dealt out
+    marked = rows.select("row", "id", "text", mark)
+    whole = marked.join(marks, "mark", "left_anti").select("id", "text", F.lit(None).cast(flags.schema["ranges"].dataType).alias("ranges"))
+    met = marked.join(marks, "mark", "left_semi").join(flags, "row", "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,5 +356,5 @@ def without_repeats(docs: DataFrame, kind: Kind, cut: Callable, schema: str, id_
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return rows.join(flags, "row", "left").select("id", "text", "ranges").mapInArrow(tidied(run), schema)
+    return whole.unionByName(met).mapInArrow(tidied(run), schema)
 
