@@ -26,12 +26,15 @@ def sentences(c: Column) -> Column:
 
 def sentence_groups(c: Column, size: int) -> Column:
     """array<struct<text, start_sentence, end_sentence>> of up to ``size`` sentences each."""
-    s = sentences(c)
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(F.array_join(F.slice(s, i + 1, size), " ").alias("text"), i.alias("start_sentence"), F.least(i + size, F.size(s)).alias("end_sentence")),
-    )
+
+    def groups(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            starts,
+            lambda i: F.struct(F.array_join(F.slice(s, i + 1, size), " ").alias("text"), i.alias("start_sentence"), F.least(i + size, F.size(s)).alias("end_sentence")),
+        )
+
+    return F.flatten(F.transform(F.array(sentences(c)), groups))  # the sentences are bound once, not split again for every group
 
 
 def windows(length: Column, size: int, overlap: int) -> Column:
@@ -103,7 +106,14 @@ def valid_spans(text: Column, spans: Column) -> Column:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """All positions (from 0) of a non-empty needle, overlapping ones too."""
-    at = F.sequence(F.lit(0), F.length(text) - F.length(needle))
-    fits = (F.length(needle) > 0) & (F.length(text) >= F.length(needle)) & F.contains(text, needle)
-    return F.when(fits, F.filter(at, lambda i: F.substring(text, i + 1, F.length(needle)) == needle)).otherwise(F.array().cast("array<int>"))
+    """All positions (from 0) of a non-empty needle, overlapping ones too: ``locate`` goes from one to the next."""
+    none = F.array().cast("array<int>")
+    most = F.size(F.split(text, F.concat(F.lit("\\Q"), F.substring(needle, 1, 1), F.lit("\\E")), -1)) - 1  # times its first character occurs
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.when(s["at"] < 0, F.lit(0)).otherwise(F.call_function("locate", needle, text, s["at"] + 1))
+        return F.struct(F.when(at > 0, at).otherwise(-1).alias("at"), F.when(at > 0, F.concat(s["found"], F.array(at - 1))).otherwise(s["found"]).alias("found"))
+
+    fits = (F.length(needle) > 0) & F.contains(text, needle)
+    return F.when(fits, F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), start, step, lambda s: s["found"])).otherwise(none)

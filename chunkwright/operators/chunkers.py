@@ -90,7 +90,7 @@ def sequential_hac(sentences: DataFrame, distance_threshold: float = 0.3, keys:
 
 def kernel_chunks(docs: DataFrame, split: Callable[[str], list[dict]], fields: str) -> DataFrame:
     """Apply a per-document kernel in Arrow batches; ``fields``: DDL of what it gives besides text."""
-    schema = "doc_id long, chunk_index int, text string" + (f", {fields}" if fields else "")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, text string" + (f", {fields}" if fields else "")
     names = [x.split()[0] for x in schema.split(", ")]
     target = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -100,7 +100,7 @@ def kernel_chunks(docs: DataFrame, split: Callable[[str], list[dict]], fields: s
             if rows:
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=target)
 
-    return _identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
+    return _identified(docs.select("doc_id", "text").mapInArrow(run, schema))
 
 
 @chunker("passage_spacy", passage_length=10, splitter=kernels.sentence_spans)

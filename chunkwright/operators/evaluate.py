@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5, 10, 20)
-#: Rows of vectors multiplied at once.
-QUERY_BLOCK, PASSAGE_BLOCK = 1024, 4096
+#: Rows of vectors multiplied at once, and passages of a cell.
+QUERY_BLOCK, PASSAGE_BLOCK, PASSAGE_SHARD = 1024, 4096, 1 << 16
 
 
 def k_values(max_chunks: int) -> list[int]:
@@ -37,46 +37,80 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return unit_rows(np.array(column.to_pylist(), np.float64).reshape(len(column), -1))
 
 
+class _Cell:
+    """A block of queries and their k best passages so far, as lists of (query, passage, score)."""
+
+    def __init__(self, k: int, exclude_self: bool):
+        self.k, self.exclude_self = k, exclude_self
+        self.ids, self.vectors, self.found = [], [], []
+
+    def add_queries(self, ids: list, vectors: np.ndarray) -> None:
+        self.ids += ids
+        self.vectors.append(vectors)
+
+    def add_passages(self, own: list, m: np.ndarray) -> None:
+        if not self.ids:
+            return
+        q_ids, vectors, own = np.array(self.ids, object), np.concatenate(self.vectors), np.array(own, object)
+        for at in range(0, len(own), PASSAGE_BLOCK):
+            scores = np.round(vectors @ m[at : at + PASSAGE_BLOCK].T, 12)
+            if self.exclude_self:
+                scores[q_ids[:, None] == own[None, at : at + PASSAGE_BLOCK]] = -np.inf
+            n = min(self.k, scores.shape[1])
+            limit = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+            q, p = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
+            self.found.append((q_ids[q], own[at : at + PASSAGE_BLOCK][p], scores[q, p]))
+
+    def rows(self) -> tuple[list, list, np.ndarray]:
+        if not self.found:
+            return [], [], np.empty(0)
+        return tuple(x.tolist() for x in map(np.concatenate, zip(*self.found, strict=True)))
+
+
 def dense_topk(queries: DataFrame, passages: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """query_id, passage_id, score, rank of the k most similar passages by cosine; of equals the smaller id.
 
-    Queries come in blocks of bounded size; a block is multiplied with each
-    partition of the passages, which gives k rows a query at most.
+    Blocks of queries meet shards of passages in the cells of a grid, each cell
+    in one task; a tile of passages leaves k rows a query (and its ties).
     """
-    parts = None
-    for block in _blocks(queries):
-        ids, vectors = [r["query_id"] for r in block], unit_rows(np.array([r["embedding"] for r in block], np.float64))
-
-        def run(batches: Iterator[pa.RecordBatch], ids=np.array(ids), vectors=vectors) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own, m = np.array(batch.column("passage_id").to_pylist()), _matrix(batch.column("embedding"))
-                for at in range(0, len(own), PASSAGE_BLOCK):
-                    scores = np.round(vectors @ m[at : at + PASSAGE_BLOCK].T, 12)
-                    if exclude_self:
-                        scores[ids[:, None] == own[None, at : at + PASSAGE_BLOCK]] = -np.inf
-                    n = min(k, scores.shape[1])
-                    limit = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-                    q, p = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
-                    yield pa.record_batch([pa.array(ids[q]), pa.array(own[at : at + PASSAGE_BLOCK][p]), pa.array(scores[q, p])], names=["query_id", "passage_id", "score"])
-
-        kinds = dict(queries.dtypes), dict(passages.dtypes)
-        part = passages.select("passage_id", "embedding").mapInArrow(run, f"query_id {kinds[0]['query_id']}, passage_id {kinds[1]['passage_id']}, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, passage_id long, score double, rank int")
-    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")
-    return parts.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    shards = max(1, -(-passages.count() // PASSAGE_SHARD), -(-n // blocks))
+    kinds = dict(queries.dtypes)["query_id"], dict(passages.dtypes)["passage_id"]
+    dealt = lambda by, parts: F.pmod(F.xxhash64(F.lit("cell"), by), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    cells = queries.select(dealt("query_id", blocks).alias("block"), every(shards).alias("shard"), F.lit(0).alias("kind"), "query_id", F.lit(None).cast(kinds[1]).alias("passage_id"), vector)
+    cells = cells.unionByName(passages.select(every(blocks).alias("block"), dealt("passage_id", shards).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast(kinds[0]).alias("query_id"), "passage_id", vector))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell, types = None, _Cell(k, exclude_self), None
 
+        def rows():
+            q, p, s = cell.rows()
+            return pa.record_batch([pa.array(q, types[0]), pa.array(p, types[1]), pa.array(s, pa.float64())], names=["query_id", "passage_id", "score"])
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    held = []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
+        for batch in batches:
+            types = batch.schema.field("query_id").type, batch.schema.field("passage_id").type
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "shard", "kind")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if at != tuple(keys[:2, a]):
+                    if at is not None:
+                        yield rows()
+                    at, cell = tuple(keys[:2, a]), _Cell(k, exclude_self)
+                some = batch.slice(a, b - a)
+                add, name = (cell.add_passages, "passage_id") if keys[2, a] else (cell.add_queries, "query_id")
+                add(some.column(name).to_pylist(), _matrix(some.column("embedding")))
+        if at is not None:
+            yield rows()
+
+    placed = cells.repartition(max(n, blocks * shards), "block", "shard").sortWithinPartitions("block", "shard", "kind")
+    parts = placed.mapInArrow(run, f"query_id {kinds[0]}, passage_id {kinds[1]}, score double")
+    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")
+    return parts.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
 
 
 def document_scores(results: DataFrame, passages: DataFrame) -> DataFrame:

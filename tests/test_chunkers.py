@@ -132,3 +132,12 @@ def test_graph_segments_respect_the_least_size():
     v = np.array([[1, 0]] * 4 + [[0, 1]] * 4 + [[1, 1]], float)
     segments = kernels.graph_segments(kernels.cosines(v, v), 0.9, 3)
     assert segments[0] == (0, 4) and all(b - a >= 3 for a, b in segments)
+
+
+def test_kernel_chunkers_keep_the_type_of_ids(spark):
+    frame = spark.createDataFrame([("doc-1", "One here. Two there. Three more."), ("doc-2", None)], "doc_id string, text string")
+    for name in ("text_tiling", "passage_spacy", "max_min_chunker", "sequential_hac_chunker", "recursive_semantic", "graphseg"):
+        out = chunkers.get_chunker(name)(frame)
+        assert dict(out.dtypes)["doc_id"] == "string"
+        found = out.collect()
+        assert {r["doc_id"] for r in found} <= {"doc-1", "doc-2"} and any(r["chunk_id"] == "doc-1#0" for r in found), name

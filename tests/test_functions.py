@@ -70,3 +70,9 @@ def test_vectors(spark):
 )
 def test_boundaries(spark, current, following, ok):
     assert one(spark, boundary.boundary_ok(F.col("a"), F.col("b")), a=(current, "string"), b=(following, "string")) is ok
+
+
+def test_occurrences_overlap_and_need_no_scan_of_every_position(spark):
+    rows = [("aaaa", "aa"), ("abcabcab", "abcab"), ("x.y.x", "."), ("", "a"), ("a", ""), (None, "a"), ("a\\Eb\\E", "\\E")]
+    found = spark.createDataFrame(rows, "t string, n string").select(text.occurrences(F.col("t"), F.col("n")).alias("o")).collect()
+    assert [r["o"] for r in found] == [[0, 1, 2], [0, 3], [1, 3], [], [], [], [1, 4]]
