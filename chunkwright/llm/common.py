@@ -45,7 +45,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,7 +44,7 @@ SAMPLE, HOT_LEAST, HOT_KEYS, PART = 0.02, 20, 100_000, 512
 SPANS, STEP = 20_000, 4
 _ANCHORS = "gram long, row long, at long"
 _SPANS = "gram long, salt int, row long, at long, text binary"
-_SOLVED = "kind int, gram long, row long, at long, last long, text binary"
+_SOLVED = "kind int, gram long, row long, at long, more long, text binary"
 #: at: position of the anchor, windows before it, windows in all, by these factors.
 _A, _B = 1 << 16, 1 << 8
 #: The salt of a prefix that one task has whole.
@@ -242,7 +242,7 @@ def _solve(kind: Kind):
                 gone[heads] = False
             gone = np.flatnonzero(gone)
             if len(gone):
-                yield _batch([np.zeros(len(gone), np.int32), gram[gone], row[gone], first[gone], last[gone], [None] * len(gone)], _SOLVED)
+                yield _batch([np.zeros(len(gone), np.int32), np.zeros(len(gone), np.int64), row[gone], first[gone], (last - first)[gone], [None] * len(gone)], _SOLVED)
             kept = heads[salt[heads] != WHOLE]
             if len(kept):
                 yield _batch([np.ones(len(kept), np.int32), gram[kept], row[kept], at[kept], np.zeros(len(kept), np.int64), [texts[i] for i in kept]], _SOLVED)
@@ -265,7 +265,7 @@ def _solve(kind: Kind):
                 heads = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (start[1:] != start[:-1] + 1)]))
                 tails = np.concatenate([heads[1:] - 1, [len(span) - 1]])
                 n = len(heads)
-                yield _batch([np.zeros(n, np.int32), np.zeros(n, np.int64), rows[span[heads]], begins[heads], begins[tails], [None] * n], _SOLVED)
+                yield _batch([np.zeros(n, np.int32), np.zeros(n, np.int64), rows[span[heads]], begins[heads], begins[tails] - begins[heads], [None] * n], _SOLVED)
 
     return run
 
@@ -314,7 +314,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
             out.append(solved(single))
             out.append(solved(out[-1].filter("kind = 1").select("gram", F.lit(WHOLE).alias("salt"), "row", "at", "text")))
         drop_materialised(wide)
-    ranges = [x.filter("kind = 0").select("row", F.col("at").alias("first"), "last") for x in out]
+    ranges = [x.filter("kind = 0").select("row", F.col("at").alias("first"), (F.col("at") + F.col("more")).alias("last")) for x in out]
     whole = ranges[0]
     for x in ranges[1:]:
         whole = whole.unionByName(x)
