@@ -122,11 +122,11 @@ def _find_anchors(kind: Kind):
 
 
 def _repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of gram, those whose gram occurs again."""
-    for part in whole_runs(batches, ["gram"], 50_000):
+    """Of rows in order of gram, those whose gram occurs again; a gram that comes in parts does."""
+    for part in whole_runs(batches, ["gram", "salt"], 50_000):
         gram = part["gram"].to_numpy()
         same = np.concatenate([[False], gram[1:] == gram[:-1], [False]])
-        at = np.flatnonzero(same[1:] | same[:-1])
+        at = np.flatnonzero(same[1:] | same[:-1] | (part["salt"].to_numpy() != WHOLE))
         if len(at):
             yield from part.take(pa.array(at)).combine_chunks().to_batches()
 
@@ -290,11 +290,8 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     frequent = materialise(frequent.orderBy(F.desc("seen"), "gram").limit(HOT_KEYS).select("gram", "parts"), "grams")
     found = rows.mapInArrow(find, _ANCHORS).join(F.broadcast(frequent), "gram", "left")  # at most HOT_KEYS rows
     found = found.select("gram", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(WHOLE)).alias("salt"), "row", "at")
-    alone = found.filter(F.col("salt") == WHOLE).repartition(n, "gram").sortWithinPartitions("gram")
-    schema = "gram long, salt int, row long, at long"
-    kept = alone.mapInArrow(_repeated_grams, schema)
-    if not frequent.isEmpty():
-        kept = kept.unionByName(found.filter(F.col("salt") != WHOLE))
+    dealt = found.repartition(n, "gram", "salt").sortWithinPartitions("gram")  # the texts are read for anchors once
+    kept = dealt.mapInArrow(_repeated_grams, "gram long, salt int, row long, at long")
     asked = kept.groupBy("row").agg(F.collect_list(F.struct("gram", "salt", "at")).alias("asked"))
     spans = asked.join(rows.select("row", "text"), "row").select("row", "asked", "text").mapInArrow(tidied(_fetch(kind)), _SPANS)
 
