@@ -41,11 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+#: Whether Spark removes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str, free_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    The table stands for its shuffles from then on; ``free_shuffles`` removes
+    their files at once rather than when the driver's collector finds them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    if free_shuffles:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

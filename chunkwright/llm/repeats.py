@@ -297,7 +297,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
 
     def solved(spans: DataFrame) -> DataFrame:
         placed = spans.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt", "row", "at")
-        return materialise(placed.mapInArrow(tidied(_solve(kind)), _SOLVED), "solved")
+        return materialise(placed.mapInArrow(tidied(_solve(kind)), _SOLVED), "solved", free_shuffles=True)
 
     out = [solved(spans)]
     if not frequent.isEmpty():
@@ -315,7 +315,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     whole = ranges[0]
     for x in ranges[1:]:
         whole = whole.unionByName(x)
-    whole = materialise(whole, "ranges")
+    whole = materialise(whole, "ranges", free_shuffles=True)
     for x in [frequent, *out]:
         drop_materialised(x)
     return whole

@@ -133,3 +133,12 @@ def test_shared_parts_lose_no_repeat():
                 windows[b - j, s[j : j + window]].append((i, j))
         assert all(x in kept for same in windows.values() if len(same) > 1 for x in same)
         assert all(j < count[i] for i, j in kept)
+
+
+def test_setting_of_the_session_comes_back(spark):
+    from chunkwright.llm.common import _CLEANUP, drop_materialised, materialise
+
+    before = spark.conf.get(_CLEANUP)
+    kept = materialise(spark.range(50).repartition(4, "id"), "freed", free_shuffles=True)
+    assert kept.count() == 50 and spark.conf.get(_CLEANUP) == before
+    drop_materialised(kept)
