@@ -291,7 +291,8 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     found = rows.mapInArrow(find, _ANCHORS).join(F.broadcast(frequent), "gram", "left")  # at most HOT_KEYS rows
     found = found.select("gram", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(WHOLE)).alias("salt"), "row", "at")
     dealt = found.repartition(n, "gram", "salt").sortWithinPartitions("gram")  # the texts are read for anchors once
-    kept = dealt.mapInArrow(_repeated_grams, "gram long, salt int, row long, at long")
+    # What is left (some 40 % of the anchors of check_l) as a table lets their shuffle go before the spans are written.
+    kept = materialise(dealt.mapInArrow(_repeated_grams, "gram long, salt int, row long, at long"), "anchors", free_shuffles=True)
     asked = kept.groupBy("row").agg(F.collect_list(F.struct("gram", "salt", "at")).alias("asked"))
     spans = asked.join(rows.select("row", "text"), "row").select("row", "asked", "text").mapInArrow(tidied(_fetch(kind)), _SPANS)
 
@@ -316,7 +317,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     for x in ranges[1:]:
         whole = whole.unionByName(x)
     whole = materialise(whole, "ranges", free_shuffles=True)
-    for x in [frequent, *out]:
+    for x in [frequent, kept, *out]:
         drop_materialised(x)
     return whole
 
