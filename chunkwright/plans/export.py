@@ -54,15 +54,15 @@ def exported_run(spark: SparkSession, run_dir: str, out: str, overwrite: bool =
     asked = jsonl.queries(spark, f"{run_dir}/queries/queries.jsonl").withColumn("query_ord", F.monotonically_increasing_id())
     asked = asked.withColumn("answers", relevance.answers_of())
     numbered = relevance.renumbered(passages).persist()
+    joined = asked.select("query_id", "contents").join(relevance.passage_relevance(asked, numbered), "query_id").persist()
     try:
-        found = relevance.passage_relevance(asked, numbered)
-        joined = asked.select("query_id", "contents").join(found, "query_id").persist()
         p, q = sinks.export_rows(numbered, joined)
         sinks.write_jsonl(p, f"{out}/passages", overwrite)
         sinks.write_jsonl(q, f"{out}/queries", overwrite)
         counts = joined.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("extractive")).alias("extractive"), F.count_if(F.array_contains("relevant", "-1")).alias("not_found")).first()
         return {"passages": numbered.count(), **counts.asDict()}
     finally:
+        joined.unpersist()
         numbered.unpersist()
 
 
