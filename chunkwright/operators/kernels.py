@@ -49,6 +49,17 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a / np.where(na == 0, 1, na)) @ (b / np.where(nb == 0, 1, nb)).T
 
 
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
+
+
+def neighbours(v: np.ndarray) -> np.ndarray:
+    """Cosines of each row and the next."""
+    u = unit_rows(v)
+    return np.einsum("ij,ij->i", u[:-1], u[1:])
+
+
 def group_spans(text: str, spans: list[tuple[int, int]], size: int) -> list[dict]:
     out = []
     for at in range(0, len(spans), size):
@@ -77,12 +88,21 @@ class Tiling:
         """Cosine of the word counts on both sides of each gap; sides shrink near the ends."""
         blocks = [Counter(x for x in words[i : i + self.w] if x not in self.stopwords) for i in range(0, len(words), self.w)]
         gaps = len(blocks) - 1
+        sides, bounds, squares, common = (Counter(), Counter()), [[0, 0], [0, 0]], [0, 0], 0
         out = []
         for g in range(gaps):
             reach = min(self.k, g + 1, gaps - g)
-            left, right = sum(blocks[g + 1 - reach : g + 1], Counter()), sum(blocks[g + 1 : g + 1 + reach], Counter())
-            size = sum(v * v for v in left.values()) * sum(v * v for v in right.values())
-            out.append(sum(v * right[x] for x, v in left.items()) / math.sqrt(size) if size else 0.0)
+            for side, wanted in enumerate(((g + 1 - reach, g + 1), (g + 1, g + 1 + reach))):
+                own, other = sides[side], sides[1 - side]
+                # from one gap to the next few blocks come and go; counts, squares and products follow them
+                for sign, moved in ((1, range(bounds[side][1], wanted[1])), (-1, range(bounds[side][0], wanted[0]))):
+                    for word, n in (x for b in moved for x in blocks[b].items()):
+                        common += sign * n * other[word]
+                        squares[side] += n * (2 * sign * own[word] + n)
+                        own[word] += sign * n
+                bounds[side] = list(wanted)
+            size = squares[0] * squares[1]
+            out.append(common / math.sqrt(size) if size else 0.0)
         return out
 
     def smooth(self, scores: list[float]) -> list[float]:
@@ -141,10 +161,10 @@ def max_min_chunks(sentences: list[str], embed: Embed, c: float, hard: float, in
     """A sentence joins while its best likeness to the chunk passes a limit that grows with the chunk's worst."""
     if not sentences:
         return []
-    like = cosines(*(2 * [np.asarray(embed(sentences), float)]))
+    unit = unit_rows(np.asarray(embed(sentences), float))
     groups, first, worst = [], 0, -math.inf
     for i in range(1, len(sentences)):
-        own, size = like[i, first:i], i - first
+        own, size = unit[first:i] @ unit[i], i - first
         if size == 1:
             limit, best, worst = 0.0, init * own[0], own[0]
         else:
@@ -159,8 +179,7 @@ def max_min_chunks(sentences: list[str], embed: Embed, c: float, hard: float, in
 def chain_chunks(sentences: list[str], embed: Embed, threshold: float) -> list[dict]:
     if not sentences:
         return []
-    v = np.asarray(embed(sentences), float)
-    like = [cosines(v[i - 1 : i], v[i : i + 1])[0, 0] for i in range(1, len(v))]
+    like = neighbours(np.asarray(embed(sentences), float)).tolist()
     cuts = [0, *(i for i, x in enumerate(like, 1) if 1 - x >= threshold), len(sentences)]
     return [{"text": " ".join(sentences[a:b])} for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -211,7 +230,7 @@ class Recursive:
         if len(s) < 2:
             return [text] if text.strip() else []
         v = np.asarray(self.embed([" ".join(s[max(0, i - 1) : i + 2]) for i in range(len(s))]), float)
-        far = np.array([1 - cosines(v[i : i + 1], v[i + 1 : i + 2])[0, 0] for i in range(len(v) - 1)])
+        far = 1 - neighbours(v)
         cuts = [0, *(np.flatnonzero(far > np.percentile(far, self.breakpoint_percentile)) + 1).tolist(), len(s)]
         return [p for p in (" ".join(s[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)) if p.strip()]
 
@@ -364,53 +383,43 @@ def propositions(text: str, propose: Callable[[str], str], budget: int, overlap_
 # -- graph segmentation -------------------------------------------------------
 
 
-def _cliques(near: list[set[int]]) -> list[set[int]]:
-    """Maximal cliques, with pivots."""
-    out = []
-    stack = [(set(), set(range(len(near))), set())]
-    while stack:
-        r, p, x = stack.pop()
-        if not p and not x:
-            out.append(r)
-            continue
-        pivot = max(p | x, key=lambda u: len(near[u] & p))
-        for v in list(p - near[pivot]):
-            stack.append((r | {v}, p & near[v], x & near[v]))
-            p.remove(v)
-            x.add(v)
-    return out
+#: Rows of a block of products.
+BLOCK = 1024
 
 
-def graph_segments(like: np.ndarray, threshold: float, least: int) -> list[tuple[int, int]]:
-    """Segments of sentences: neighbours in a clique of related sentences join, then those that share a clique, then the small ones."""
-    n = len(like)
-    near = [{j for j in np.flatnonzero(like[i] > threshold).tolist() if j != i} for i in range(n)]
-    cliques = _cliques(near)
-    own = [{k for k, c in enumerate(cliques) if i in c} for i in range(n)]
-    segments = [[0]] if n else []
-    for i in range(1, n):
-        if own[i] & own[i - 1]:
-            segments[-1].append(i)
-        else:
-            segments.append([i])
-    merged = segments[:1]
-    for s in segments[1:]:
-        if any(len(cliques[k] & set(merged[-1])) and len(cliques[k] & set(s)) for k in set().union(*(own[i] for i in s))):
-            merged[-1] += s
+def related(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
+    """Whether any row of one is like any row of the other beyond the threshold; blocks bound the memory."""
+    return any((left[i : i + BLOCK] @ right[j : j + BLOCK].T > threshold).any() for i in range(0, len(left), BLOCK) for j in range(0, len(right), BLOCK))
+
+
+def graph_segments(v: np.ndarray, threshold: float, least: int) -> list[tuple[int, int]]:
+    """Segments of sentences: neighbours in a clique of related sentences join, then those that share a clique, then the small ones.
+
+    Two sentences share some maximal clique exactly where they are related, so cliques need not be listed.
+    """
+    if not len(v):
+        return []
+    u = unit_rows(v)
+    marks = [0, *(np.flatnonzero(neighbours(v) <= threshold) + 1).tolist(), len(v)]
+    merged: list[tuple[int, int]] = []
+    for a, b in zip(marks, marks[1:], strict=False):
+        if merged and related(u[slice(*merged[-1])], u[a:b], threshold):
+            merged[-1] = (merged[-1][0], b)
         else:
-            merged.append(s)
-    tie = lambda a, b: float(np.mean(like[np.ix_(a, b)]))
+            merged.append((a, b))
+    centre = lambda s: u[slice(*s)].mean(axis=0)  # noqa: E731  (the mean likeness of two segments is the product of their centres)
     i = 0
     while len(merged) > 1 and i < len(merged):
-        if len(merged[i]) >= least:
+        if merged[i][1] - merged[i][0] >= least:
             i += 1
             continue
-        left = tie(merged[i - 1], merged[i]) if i else -math.inf
-        right = tie(merged[i], merged[i + 1]) if i + 1 < len(merged) else -math.inf
+        own = centre(merged[i])
+        left = float(centre(merged[i - 1]) @ own) if i else -math.inf
+        right = float(own @ centre(merged[i + 1])) if i + 1 < len(merged) else -math.inf
         a = i - 1 if left >= right else i
-        merged[a : a + 2] = [merged[a] + merged[a + 1]]
+        merged[a : a + 2] = [(merged[a][0], merged[a + 1][1])]
         i = a
-    return [(s[0], s[-1] + 1) for s in merged]
+    return merged
 
 
 def graph_chunks(text: str, spans: list[tuple[int, int]], embed: Embed, threshold: float, least: int) -> list[dict]:
@@ -418,7 +427,7 @@ def graph_chunks(text: str, spans: list[tuple[int, int]], embed: Embed, threshol
         return []
     v = np.asarray(embed([text[a:b] for a, b in spans]), float)
     out = []
-    for a, b in graph_segments(cosines(v, v), threshold, least):
+    for a, b in graph_segments(v, threshold, least):
         begin, end = spans[a][0], spans[b - 1][1]
         out.append({"text": text[begin:end], "start_char": begin, "end_char": end, "start_sentence": a, "end_sentence": b})
     return out

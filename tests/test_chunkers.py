@@ -130,7 +130,7 @@ def test_token_windows_overlap():
 
 def test_graph_segments_respect_the_least_size():
     v = np.array([[1, 0]] * 4 + [[0, 1]] * 4 + [[1, 1]], float)
-    segments = kernels.graph_segments(kernels.cosines(v, v), 0.9, 3)
+    segments = kernels.graph_segments(v, 0.9, 3)
     assert segments[0] == (0, 4) and all(b - a >= 3 for a, b in segments)
 
 
@@ -141,3 +141,46 @@ def test_kernel_chunkers_keep_the_type_of_ids(spark):
         assert dict(out.dtypes)["doc_id"] == "string"
         found = out.collect()
         assert {r["doc_id"] for r in found} <= {"doc-1", "doc-2"} and any(r["chunk_id"] == "doc-1#0" for r in found), name
+
+
+def test_tiling_scores_equal_sums_of_blocks():
+    p = kernels.Tiling(3, 4, 2, 1, "hc", frozenset({"a"}), kernels.sentence_spans)
+    r = random.Random(5)
+    for n in (0, 2, 7, 40, 101):
+        words = [r.choice("abcdefgh") for _ in range(n)]
+        blocks = [[x for x in words[i : i + 3] if x != "a"] for i in range(0, n, 3)]
+        expected = []
+        for g in range(len(blocks) - 1):
+            reach = min(4, g + 1, len(blocks) - 1 - g)
+            left, right = sum(blocks[g + 1 - reach : g + 1], []), sum(blocks[g + 1 : g + 1 + reach], [])
+            norm = sum(left.count(x) ** 2 for x in set(left)) * sum(right.count(x) ** 2 for x in set(right))
+            expected.append(sum(left.count(x) * right.count(x) for x in set(left)) / norm**0.5 if norm else 0.0)
+        assert p.scores(words) == pytest.approx(expected, abs=1e-12)
+
+
+def listed_cliques(like, threshold):
+    """All maximal cliques, from all subsets."""
+    n = len(like)
+    sets = [c for c in range(1, 1 << n) if all(like[i, j] > threshold for i in range(n) for j in range(i) if c >> i & 1 and c >> j & 1)]
+    return [{i for i in range(n) if c >> i & 1} for c in sets if not any(c != d and c & d == c for d in sets)]
+
+
+def test_graph_segments_equal_shared_cliques():
+    r = np.random.default_rng(8)
+    for _ in range(80):
+        v = r.normal(size=(r.integers(1, 9), 3))
+        like = kernels.cosines(v, v)
+        cliques = listed_cliques(like, 0.3)
+        groups = [[0]]
+        for i in range(1, len(v)):
+            if any({i, i - 1} <= c for c in cliques):
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        joined = groups[:1]
+        for s in groups[1:]:
+            if any(c & set(s) and c & set(joined[-1]) for c in cliques):
+                joined[-1] = joined[-1] + s
+            else:
+                joined.append(s)
+        assert kernels.graph_segments(v, 0.3, 1) == [(s[0], s[-1] + 1) for s in joined]
