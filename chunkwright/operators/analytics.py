@@ -174,3 +174,28 @@ def close_but_apart(pairs: DataFrame, tolerance: float, threshold: float) -> Dat
 def merged_cases(plain: DataFrame, merged: DataFrame) -> DataFrame:
     """(chunker, query) that the plain run hits and the merged run misses."""
     return plain.filter("hit").select("chunker", "query_id").join(merged.filter("NOT hit").select("chunker", "query_id"), ["chunker", "query_id"])
+
+
+def chosen_experiments(experiments: DataFrame, datasets: list | None = None, excluded_chunkers: list | None = None) -> DataFrame:
+    """Experiments of the named datasets (all, if none is named) without the excluded chunkers."""
+    out = experiments.filter(F.col("dataset").isin(datasets)) if datasets else experiments
+    return out.filter(~F.col("chunker").isin(excluded_chunkers)) if excluded_chunkers else out
+
+
+def query_groups(results: DataFrame, across_datasets: bool = False) -> DataFrame:
+    """Results of a query together, per dataset or across them; question and answer are those of the first experiment.
+
+    ``results``: exp, dataset, query_id, question, free_text_answer.
+    """
+    keys = ["query_id"] if across_datasets else ["dataset", "query_id"]
+    out = results.groupBy(*keys).agg(F.min_by("question", "exp").alias("question"), F.min_by("free_text_answer", "exp").alias("free_text_answer"), F.array_sort(F.collect_list("exp")).alias("exps"))
+    return out.withColumn("dataset", F.lit("MULTI")) if across_datasets else out
+
+
+def passages_per_document(passages: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """One row: the most passages of a document (1 without passages) and how many documents have any."""
+    return passages.groupBy(parent).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("max_passages"), F.count(F.lit(1)).alias("documents"))
+
+
+def runs_per_method(experiments: DataFrame) -> DataFrame:
+    return experiments.groupBy("chunker").agg(F.count(F.lit(1)).alias("runs"))

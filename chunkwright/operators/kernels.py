@@ -179,8 +179,8 @@ def max_min_chunks(sentences: list[str], embed: Embed, c: float, hard: float, in
 def chain_chunks(sentences: list[str], embed: Embed, threshold: float) -> list[dict]:
     if not sentences:
         return []
-    like = neighbours(np.asarray(embed(sentences), float)).tolist()
-    cuts = [0, *(i for i, x in enumerate(like, 1) if 1 - x >= threshold), len(sentences)]
+    far = np.round(1 - neighbours(np.asarray(embed(sentences), float)), 12)  # distances at the threshold stay there
+    cuts = [0, *(np.flatnonzero(far >= threshold) + 1).tolist(), len(sentences)]
     return [{"text": " ".join(sentences[a:b])} for a, b in zip(cuts, cuts[1:], strict=False)]
 
 

@@ -173,12 +173,18 @@ def exported_metadata(metadata: str = "metadata") -> list:
     return [F.from_json(F.get_json_object(m, f"$.{k}"), "array<string>").alias(k) for k in ("extractive_span_text_answer", "free_text_answer")]
 
 
-def answers_of(metadata: str = "metadata") -> F.Column:
-    """Answers by key presence: null without the key, a list (empty for null or []) with it."""
+def answers_of(metadata: str = "metadata", own: str | None = None) -> F.Column:
+    """Answers by key presence: null without the key, a list (empty for null or []) with it.
+
+    ``own``: JSON of the same key beside the metadata, null where it is absent;
+    it serves where the metadata has no value.
+    """
     m = F.coalesce(F.col(metadata), F.lit("{}"))
     key = F.lit("extractive_span_text_answer")
     has = F.array_contains(F.coalesce(F.json_object_keys(m), F.array().cast("array<string>")), key)
     found = F.get_json_object(m, "$.extractive_span_text_answer")
+    if own:
+        has, found = has | F.col(own).isNotNull(), F.coalesce(found, F.col(own))
     as_list = F.from_json(found, "array<string>")
     scalar = F.when(found.isNotNull() & ~found.startswith("["), F.array(found))
     return F.when(has, F.coalesce(scalar, as_list, F.array().cast("array<string>")))

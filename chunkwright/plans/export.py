@@ -50,9 +50,9 @@ def merged_dataset(docs: DataFrame, queries: DataFrame, merged_id: str = "merged
 
 def exported_run(spark: SparkSession, run_dir: str, out: str, overwrite: bool = False) -> dict:
     """Read a run's passages and queries, remap relevance, write both; counts of what was written."""
-    passages = jsonl.passages(spark, f"{run_dir}/passages.jsonl").withColumn("passage_ord", F.monotonically_increasing_id())
-    asked = jsonl.queries(spark, f"{run_dir}/queries/queries.jsonl").withColumn("query_ord", F.monotonically_increasing_id())
-    asked = asked.withColumn("answers", relevance.answers_of())
+    passages = jsonl.passages(spark, f"{run_dir}/passages.jsonl").withColumnRenamed("line", "passage_ord")
+    asked = jsonl.queries(spark, f"{run_dir}/queries/queries.jsonl").withColumnRenamed("line", "query_ord")
+    asked = asked.withColumn("answers", relevance.answers_of(own="own_answers"))
     numbered = relevance.renumbered(passages).persist()
     joined = asked.select("query_id", "contents").join(relevance.passage_relevance(asked, numbered), "query_id").persist()
     try:

@@ -8,8 +8,10 @@ ordered passages of a parent, ``labels`` are judgements and categories.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,11 +97,47 @@ def _propose(text: str) -> str:
     return json.dumps({"propositions": sentence_list(text)}, ensure_ascii=False)
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """A stand-in for an embedding that SQL can give too: how often each letter occurs."""
+    return np.array([[t.lower().count(c) for c in string.ascii_lowercase] for t in texts], float).reshape(len(texts), 26)
+
+
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_SENTENCE_ROWS = rf"""
+parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(2)) AS parts FROM documents),
+part AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM parts),
+placed AS (SELECT doc_id, i, string_split(part, chr(1))[1] AS body, sum(length(replace(part, chr(1), ''))) OVER (PARTITION BY doc_id ORDER BY i) - length(replace(part, chr(1), '')) AS pos FROM part),
+sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, trim(body, {_SPACE}) AS s, pos + length(body) - length(ltrim(body, {_SPACE})) AS a, pos + length(rtrim(body, {_SPACE})) AS b FROM placed WHERE trim(body, {_SPACE}) <> '')
+"""
+_KERNEL_SQL = {
+    "passage_spacy": f"""
+WITH {_SENTENCE_ROWS}
+SELECT doc_id, (n // 10)::INTEGER AS chunk_index, doc_id || '#' || (n // 10) AS chunk_id, string_agg(s, ' ' ORDER BY n) AS text, min(a)::INTEGER AS start_char, max(b)::INTEGER AS end_char,
+       min(n)::INTEGER AS start_sentence, (max(n) + 1)::INTEGER AS end_sentence FROM sent GROUP BY doc_id, n // 10
+""",
+    "sequential_hac_chunker": f"""
+WITH {_SENTENCE_ROWS},
+v AS (SELECT *, list_transform(string_split('{string.ascii_lowercase}', ''), lambda c: (length(s) - length(replace(lower(s), c, '')))::DOUBLE) AS v FROM sent),
+l AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY n) AS u FROM v),
+c AS (SELECT *, sum(CASE WHEN u IS NOT NULL AND round(1 - coalesce(list_dot_product(u, v) / nullif(sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)), 0), 0), 12) >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n)::INTEGER AS k FROM l)
+SELECT doc_id, k AS chunk_index, doc_id || '#' || k AS chunk_id, string_agg(s, ' ' ORDER BY n) AS text FROM c GROUP BY doc_id, k
+""",
+    "dense_x_retrieval": rf"""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, CASE WHEN len(w) <= 300 THEN [text] ELSE list_transform(range(0, ceil((len(w) - 300) / 285.0)::BIGINT + 1), lambda i: array_to_string(w[i * 285 + 1 : i * 285 + 300], ' ')) END AS parts FROM w),
+u AS (SELECT doc_id, len(parts) AS total, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS i FROM p),
+s AS (SELECT doc_id, total, i, {_SENTENCES} AS s FROM u),
+e AS (SELECT doc_id, total, i, unnest(s) AS text, generate_subscripts(s, 1) AS k FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS c FROM e)
+SELECT doc_id, c::INTEGER AS chunk_index, doc_id || '#' || c AS chunk_id, text, i::INTEGER AS window_segment_index, total::INTEGER AS total_window_segments FROM n
+""",
+}
+
 for _name, _params in (
-    ("passage_spacy", {}), ("text_tiling", {}), ("max_min_chunker", {}), ("sequential_hac_chunker", {}), ("recursive_semantic", {}), ("graphseg", {}),
+    ("passage_spacy", {}), ("text_tiling", {}), ("max_min_chunker", {}), ("sequential_hac_chunker", {"embed": _letters}), ("recursive_semantic", {}), ("graphseg", {}),
     ("lumberchunker", {"ask": _answer}), ("dense_x_retrieval", {"propose": _propose, "max_context_tokens": 600, "max_new_tokens": 300}),
 ):
-    QUERIES[f"chunker_{_name}"] = lambda spark, d, n=_name, p=_params: chunkers.get_chunker(n, **p)(_docs(spark, d))
+    query(_KERNEL_SQL.get(_name), f"chunker_{_name}")(lambda spark, d, n=_name, p=_params: chunkers.get_chunker(n, **p)(_docs(spark, d)))
 
 
 @query()
@@ -282,7 +320,12 @@ def a1_concatenated(spark, d):
     return out.drop("pieces").join(kept, "conv_id").select("conv_id", F.md5("contents").alias("contents_md5"), "pieces")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+f AS (SELECT conv_id, i, text AS t FROM o WHERE i = 1 UNION ALL
+      SELECT o.conv_id, o.i, CASE WHEN contains(f.t, o.text) THEN f.t WHEN f.t = '' THEN o.text ELSE f.t || chr(10) || chr(10) || o.text END FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
+SELECT conv_id, md5(arg_max(t, i)) AS contents_md5, max(i)::INTEGER AS contexts FROM f GROUP BY conv_id
+""")
 def a2_accumulated_contexts(spark, d):
     out = prepare.accumulated_contexts(_t(spark, d, "conversations"), "conv_id", "turn", "text")
     return out.select("conv_id", F.md5("contents").alias("contents_md5"), F.size("starts").alias("contexts"))

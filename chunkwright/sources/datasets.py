@@ -198,35 +198,38 @@ def judged_collection(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, m
 
 
 class _Text(HTMLParser):
-    """Text of a page: scripts and styles left out, block tags end a line, blank lines collapse."""
+    """Text of a page: a space after every piece, lines at block tags, no scripts or styles, no blank lines."""
 
-    BLOCKS = frozenset("p div br li ul ol table tr section article header footer h1 h2 h3 h4 h5 h6".split())
+    # Tags that begin a line, and those whose end begins one as well.
+    OPENING = frozenset("p br div li tr h1 h2 h3 h4".split())
+    CLOSING = frozenset("p div li tr".split())
+    HIDDEN = frozenset(("script", "style"))
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.skipped = [], 0
+        super().__init__()
+        self.lines, self.hidden = [[]], False
 
     def handle_starttag(self, tag, attrs):
-        self.skipped += tag in ("script", "style")
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
+        self.hidden |= tag in self.HIDDEN
+        if tag in self.OPENING:
+            self.lines.append([])
 
     def handle_endtag(self, tag):
-        self.skipped -= tag in ("script", "style") and self.skipped > 0
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
+        self.hidden &= tag not in self.HIDDEN
+        if tag in self.CLOSING:
+            self.lines.append([])
 
     def handle_data(self, data):
-        if not self.skipped:
-            self.parts.append(data)
+        if not self.hidden and not data.isspace():
+            self.lines[-1].append(data.strip())
 
     @classmethod
     def of(cls, source: str) -> str:
         p = cls()
         p.feed(source)
         p.close()
-        lines = (" ".join(x.split()) for x in "".join(p.parts).split("\n"))
-        return "\n".join(x for x in lines if x)
+        found = (part.strip() for line in p.lines for part in " ".join(line).splitlines())
+        return "\n".join(x for x in found if x)
 
 
 def html_text(source: str) -> Column:

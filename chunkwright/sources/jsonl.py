@@ -30,20 +30,38 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.coalesce(truthy(F.col("id")), F.expr("uuid()")).alias("doc_id"), F.coalesce(truthy(F.col("contents"), F.col("text")), F.lit("")).alias("contents"), F.coalesce("metadata", F.lit("{}")).alias("metadata"))
 
 
+def line_order() -> F.Column:
+    """Orders the rows of a scan as their lines stand: by file, block of the file, and place in the block."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def chunker_rows(docs: DataFrame) -> DataFrame:
+    """Documents as chunkers take them: a doc_id in the metadata overrides the document's own, even with null."""
+    named = F.array_contains(F.coalesce(F.json_object_keys("metadata"), F.array().cast("array<string>")), "doc_id")
+    return docs.select(F.when(named, F.get_json_object("metadata", "$.doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.col("contents").alias("text"), "metadata")
+
+
 def queries(spark: SparkSession, path: str) -> DataFrame:
-    r = raw_lines(spark, path)
+    """Queries, ``line`` (their order) and ``own_answers``: JSON of an answer key beside the metadata, [] for null."""
+    key = "extractive_span_text_answer"
+    lines = spark.read.text(path).select("value", line_order().alias("line")).filter(F.trim("value") != "")
+    r = lines.select("value", "line", F.from_json("value", _RAW).alias("r")).select("value", "line", "r.*")
     scores = F.transform(strings(F.col("relevant_scores")), lambda x: x.cast("double"))
+    beside = F.contains("value", F.lit(key)) & F.array_contains(F.json_object_keys("value"), key)
+    filled = lambda c: F.when(~F.btrim(c).isin("", "{}", "[]", "0", "false"), F.col(c))
     return r.select(
         F.coalesce(truthy(F.col("id")), F.expr("uuid()")).alias("query_id"), F.coalesce(truthy(F.col("contents"), F.col("text")), F.lit("")).alias("contents"),
-        strings(F.col("relevant")).alias("relevant"), scores.alias("relevant_scores"), F.coalesce("metadata", "meta", F.lit("{}")).alias("metadata"),
+        strings(F.col("relevant")).alias("relevant"), scores.alias("relevant_scores"), F.coalesce(filled("metadata"), filled("meta"), F.lit("{}")).alias("metadata"),
+        F.when(beside, F.coalesce(F.get_json_object("value", f"$.{key}"), F.lit("[]"))).alias("own_answers"), "line",
     )
 
 
 def passages(spark: SparkSession, path: str) -> DataFrame:
+    """Passages, and ``line``, their order."""
     r = raw_lines(spark, path)
     m = F.col("metadata")
     parent = truthy(F.col("parentId"), F.col("parent_id"), F.get_json_object(m, "$.parentId"), F.get_json_object(m, "$.doc_id"))
-    return r.select(F.coalesce(truthy(F.col("id"), F.col("chunk_id")), F.expr("uuid()")).alias("passage_id"), F.coalesce(parent, F.lit("")).alias("parent_id"), F.coalesce(truthy(F.col("contents"), F.col("text")), F.lit("")).alias("contents"), F.coalesce(m, F.lit("{}")).alias("metadata"))
+    return r.select(F.coalesce(truthy(F.col("id"), F.col("chunk_id")), F.expr("uuid()")).alias("passage_id"), F.coalesce(parent, F.lit("")).alias("parent_id"), F.coalesce(truthy(F.col("contents"), F.col("text")), F.lit("")).alias("contents"), F.coalesce(m, F.lit("{}")).alias("metadata"), line_order().alias("line"))
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -123,8 +123,27 @@ def test_streams_give_the_batch_rows(spark, tmp_path):
 
 
 def test_registered_queries_have_sql_or_a_reason():
-    from chunkwright.plans import queries
+    import __spark_entry__
+    from chunkwright.plans import queries, source_queries
 
-    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    assert set(queries.ORACLES) <= set(queries.QUERIES) <= set(__spark_entry__.queries())
+    assert queries.QUERIES["s1_document_scan"] is source_queries.s1_document_scan
     without = set(queries.QUERIES) - set(queries.ORACLES)
-    assert without <= {x for x in queries.QUERIES if x.startswith("chunker_")} | {"c12_late_chunking", "a2_accumulated_contexts", "d6_html_text", "e1_embedded"}
+    models = {f"chunker_{x}" for x in ("text_tiling", "max_min_chunker", "recursive_semantic", "graphseg", "lumberchunker")}
+    assert without <= models | {"c12_late_chunking", "d6_html_text", "e1_embedded"}
+
+
+def test_groups_and_counts_of_experiments(spark):
+    rows = [("a", "x", "q", "why", "f"), ("b", "y", "q", "how", "g"), ("c", "x", "q", "who", "h")]
+    results = spark.createDataFrame(rows, "exp string, dataset string, query_id string, question string, free_text_answer string")
+    groups = {r["dataset"]: (r["question"], r["exps"]) for r in analytics.query_groups(results).collect()}
+    assert groups == {"x": ("why", ["a", "c"]), "y": ("how", ["b"])}
+    whole = analytics.query_groups(results, True).first()
+    assert (whole["dataset"], whole["free_text_answer"], whole["exps"]) == ("MULTI", "f", ["a", "b", "c"])
+    experiments = spark.createDataFrame([("x", "m"), ("y", "m"), ("y", "n")], "dataset string, chunker string")
+    assert {tuple(r) for r in analytics.chosen_experiments(experiments, ["y"], ["n"]).collect()} == {("y", "m")}
+    assert analytics.chosen_experiments(experiments).count() == 3
+    assert {r["chunker"]: r["runs"] for r in analytics.runs_per_method(experiments).collect()} == {"m": 2, "n": 1}
+    passages = spark.createDataFrame([("d",), ("d",), ("e",)], "parent_id string")
+    assert tuple(analytics.passages_per_document(passages).first()) == (2, 2)
+    assert tuple(analytics.passages_per_document(passages.filter("false")).first()) == (1, 0)

@@ -2,7 +2,7 @@ import hashlib
 import json
 
 import pytest
-from chunkwright.operators import prepare
+from chunkwright.operators import prepare, relevance
 from chunkwright.sources import datasets, jsonl, sinks
 
 
@@ -180,3 +180,36 @@ def test_registry_reads_landed_files(spark, tmp_path):
     with pytest.raises(ValueError):
         datasets.dataset("squad")(None)
     assert {"poquad", "qasper", "literary_qa", "novelqa", "NFCorpus", "FiQA2018", "beir_nq_wiki_articles", "triviaqa-span-annotated", "gutenqa_concat", "crud"} <= set(datasets.DATASETS)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<b>bold</b>er", "bold er"), ("one<h5>two</h5>", "one two"), ("<h2>head</h2>body", "head body"), ("a<br>b", "a\nb"), ("<ul><li>x</li><li> y </li></ul>", "x\ny"),
+        ("<script>s</script>t<style>u</style>", "t"), ("<td>a</td><td>b</td>", "a b"), ("x &lt; y\n  z", "x < y\nz"), ("", ""), ("<script>never closed", ""),
+    ],
+)
+def test_lines_of_a_page(page, text):
+    assert datasets._Text.of(page) == text
+
+
+def test_answer_key_beside_the_metadata(spark, tmp_path):
+    key = "extractive_span_text_answer"
+    rows = [{"id": "a", key: ["x", "y"]}, {"id": "b", key: None}, {"id": "c", key: "z", "metadata": {key: None}}, {"id": "d", key: ["no"], "metadata": {key: ["in"]}}, {"id": "e", "metadata": {}, "meta": {key: ["old"]}}, {"id": "f", "contents": key}]
+    read = jsonl.queries(spark, lines(tmp_path / "q.jsonl", *rows))
+    got = {r["query_id"]: r["a"] for r in read.select("query_id", relevance.answers_of(own="own_answers").alias("a")).collect()}
+    assert got == {"a": ["x", "y"], "b": [], "c": ["z"], "d": ["in"], "e": ["old"], "f": None}
+
+
+def test_rows_keep_the_order_of_their_lines(spark, tmp_path):
+    """Small files are packed by size; the order is still that of names and lines."""
+    (tmp_path / "p").mkdir()
+    for i, n in enumerate((3, 400, 1, 90)):
+        lines(tmp_path / "p" / f"part-{i}.jsonl", *[{"id": f"{i}-{k:03d}", "contents": "x" * n} for k in range(n)])
+    got = [r["passage_id"] for r in jsonl.passages(spark, str(tmp_path / "p")).orderBy("line").collect()]
+    assert got == sorted(got) and len(got) == 494
+
+
+def test_metadata_overrides_the_document(spark):
+    frame = spark.createDataFrame([("a", "t", '{"doc_id": "b"}'), ("c", "t", "{}"), ("d", "t", '{"doc_id": null}')], "doc_id string, contents string, metadata string")
+    assert [r["doc_id"] for r in jsonl.chunker_rows(frame).collect()] == ["b", "c", None]
