@@ -15,7 +15,10 @@ verdicts are combined map-side.
 Defined cases: a null or unparsable URL, or a null fetch time, matches nothing
 and is kept; changes without entry, date or action are ignored; of the changes
 of one entry at one time the last action in the order allow, block, remove
-holds; identical captures are judged alike, one row each.
+holds; identical captures are judged alike, one row each; texts of any length
+are taken whole; without captures there are no rows, without a list all are
+kept; further columns stay as they are, whatever their names, but for those
+called entry, action or kept, which the verdict replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import table
+from chunkwright.llm.common import renamed, table
 
 #: Days after the epoch of the first capture and of the first list entry, and the length of either period.
 FIRST_DAY, DAYS = 19_723, 366
@@ -63,9 +66,12 @@ def url_filter(captures: DataFrame, changes: DataFrame, url_col: str = "url", ti
     active = keyed.join(intervals(changes), "entry").filter("valid_from <= t AND (valid_to IS NULL OR t < valid_to)")
     rank = F.struct(F.length("entry").alias("n"), (F.col("action") == "block").alias("b"), F.col("entry").alias("e"))
     verdict = active.groupBy("u", "t").agg(F.max(rank).alias("r")).select("u", "t", F.col("r.e").alias("entry"), F.when(F.col("r.b"), "block").otherwise("allow").alias("action"))
-    own = captures.select(*[F.col(f"`{c}`") for c in captures.columns if c not in ("entry", "action", "kept")])
-    joined = own.join(verdict, (own[url_col] == verdict["u"]) & (own[time_col] == verdict["t"]), "left")
-    return joined.select(*[own[c] for c in own.columns], verdict["entry"], verdict["action"], (F.coalesce(verdict["action"], F.lit("allow")) == "allow").alias("kept"))
+    plain, own = renamed(captures)
+    u, t = plain[own[url_col]], plain[own[time_col]]
+    joined = plain.join(verdict, (u == verdict["u"]) & (t == verdict["t"]), "left")
+    kept = [c for c in captures.columns if c not in ("entry", "action", "kept")]
+    out = joined.select(*[plain[own[c]] for c in kept], verdict["entry"], verdict["action"], (F.coalesce(verdict["action"], F.lit("allow")) == "allow").alias("kept"))
+    return out.toDF(*kept, "entry", "action", "kept")
 
 
 def dated_list(pages: DataFrame) -> DataFrame:

@@ -73,6 +73,14 @@ def test_captures_meet_entries_active_at_fetch_time(spark):
     assert got == {i: kept for i, (_, _, kept) in enumerate(cases)}
 
 
+def test_columns_of_any_name_stay(spark):
+    changes = spark.createDataFrame(CHANGES, "entry string, action string, since date")
+    captures = spark.createDataFrame([("http://bad.com/", D(2024, 1, 10), 1, "x", "y", "z", "w")], "`the.url` string, fetched date, `a.b` int, u string, t string, kept string, r string")
+    row = url_filter.url_filter(captures, changes, "the.url").first().asDict()
+    assert row == {"the.url": "http://bad.com/", "fetched": D(2024, 1, 10), "a.b": 1, "u": "x", "t": "y", "r": "w", "entry": "bad.com", "action": "block", "kept": False}
+    assert url_filter.url_filter(captures, changes.filter("false"), "the.url").first()["kept"] is True
+
+
 def test_no_python_in_the_plan(spark, tables):
     d = tables(pages=([(1, "http://a.b/c", "x")], "page_id long, url string, html string"))
     plan = url_filter.op5(spark, d)._jdf.queryExecution().toString()
