@@ -88,6 +88,12 @@ def sequential_hac(sentences: DataFrame, distance_threshold: float = 0.3, keys:
     return marked.groupBy(*keys, "chunk_index").agg(*aggregates)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out for kernels that cost more than a shuffle; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def kernel_chunks(docs: DataFrame, split: Callable[[str], list[dict]], fields: str) -> DataFrame:
     """Apply a per-document kernel in Arrow batches; ``fields``: DDL of what it gives besides text."""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, text string" + (f", {fields}" if fields else "")

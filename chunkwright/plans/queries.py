@@ -137,7 +137,7 @@ for _name, _params in (
     ("passage_spacy", {}), ("text_tiling", {}), ("max_min_chunker", {}), ("sequential_hac_chunker", {"embed": _letters}), ("recursive_semantic", {}), ("graphseg", {}),
     ("lumberchunker", {"ask": _answer}), ("dense_x_retrieval", {"propose": _propose, "max_context_tokens": 600, "max_new_tokens": 300}),
 ):
-    query(_KERNEL_SQL.get(_name), f"chunker_{_name}")(lambda spark, d, n=_name, p=_params: chunkers.get_chunker(n, **p)(_docs(spark, d)))
+    query(_KERNEL_SQL.get(_name), f"chunker_{_name}")(lambda spark, d, n=_name, p=_params: chunkers.get_chunker(n, **p)(chunkers.spread(_docs(spark, d))))
 
 
 @query()

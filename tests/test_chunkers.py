@@ -184,3 +184,13 @@ def test_graph_segments_equal_shared_cliques():
             else:
                 joined.append(s)
         assert kernels.graph_segments(v, 0.3, 1) == [(s[0], s[-1] + 1) for s in joined]
+
+
+def test_narrow_scans_are_dealt_out(spark, tmp_path):
+    docs(spark, *"abcdef").coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert chunkers.spread(scan).rdd.getNumPartitions() == max(cores, scan.rdd.getNumPartitions())
+    assert sorted(r["text"] for r in chunkers.spread(scan).collect()) == list("abcdef")
+    wide = spark.range(10).repartition(cores + 1)
+    assert chunkers.spread(wide) is wide
