@@ -310,8 +310,8 @@ def d10_gutenqa_documents(spark, d):
     return _told(_gutenberg(spark, d, datasets.gutenqa)[0])
 
 
-@query("""
-SELECT 'b' || conv_id || '_' || turn || '_q' || (conv_id * 1000 + turn) AS query_id, 'b' || conv_id || '_' || turn AS relevant, trim(substring(text, 1, 16)) AS extractive, trim(substring(text, 1, 16)) AS free, conv_id * 1000 + turn AS query_ord FROM conversations
+@query(f"""
+SELECT 'b' || conv_id || '_' || turn || '_q' || (conv_id * 1000 + turn) AS query_id, 'b' || conv_id || '_' || turn AS relevant, {_TRIM.format("substring(text, 1, 16)")} AS extractive, {_TRIM.format("substring(text, 1, 16)")} AS free, conv_id * 1000 + turn AS query_ord FROM conversations
 """)
 def d10_gutenqa_queries(spark, d):
     return _asked(_gutenberg(spark, d, datasets.gutenqa)[1])
