@@ -20,10 +20,11 @@ shingles in one of ``MINS`` orders (at a similarity of 0.8 all but one in 15,000
 size of the corpus.  Those that share one least shingle are filtered by the
 rings of either half and the full check on all bits.  The links are candidates
 only: inside their components the distinct texts are compared by their sets of
-shingles, and only a similarity of ``SIMILAR`` or more joins two of them.  A
-least shingle that over ``BLOCK`` fingerprints share (a passage in many texts)
-is taken together with each of their other least shingles; what is still above
-is cut into blocks.
+shingles, and only a similarity of ``SIMILAR`` or more joins two of them.  The
+fingerprints of a least shingle that over ``BLOCK`` share (a passage in many
+texts) are cut into blocks, and every two of them meet there too, by the full
+check at once: segments of three or four bits leave each pair to be looked at
+more than once, which is dear where pairs are many.
 
 A group of over ``BLOCK`` fingerprints is cut into blocks by a hash, and every
 two blocks meet in a cell of their own, so no cell holds more than two blocks
@@ -254,6 +255,29 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, block: int
     return placed.mapInArrow(tidied(_cells(distance, total)), "u long, v long")
 
 
+def crowd_roots(fp: np.ndarray, more: np.ndarray, own: np.ndarray, total: int) -> np.ndarray:
+    """The least position in the component of each position, by links between two blocks (or inside the only one), sorted by ``own``.
+
+    All pairs are checked in full; links are folded in as they come.
+    """
+    n = len(fp)
+    cut = int(np.searchsorted(own, own[0], side="right"))
+    root, held, count = np.arange(n), [], 0
+    for i in range(cut):
+        start = i + 1 if cut == n else cut
+        apart = np.bitwise_count(fp[start:] ^ fp[i]) + np.bitwise_count(more[start:] ^ more[i])
+        at = start + np.flatnonzero(apart <= total)
+        at = at[root[at] != root[i]]
+        if len(at):
+            at = at[np.unique(root[at], return_index=True)[1]]  # one of each component
+            held.append((np.full(len(at), i), at))
+            count += len(at)
+        if count > PENDING:
+            root = joined(root, *(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, count = [], 0
+    return joined(root, *(np.concatenate(c) for c in zip(*held, strict=True))) if held else root
+
+
 def _gathered(total: int):
     distance = total // 2
     parts = segments(distance + 1)
@@ -266,13 +290,17 @@ def _gathered(total: int):
             several = np.bincount(group)[group] > 1
             if not several.any():
                 continue
-            group, node = group[several], part["node"].to_numpy()[several]
+            group, node, own = group[several], part["node"].to_numpy()[several], part["own"].to_numpy()[several]
             halves = [part[c].to_numpy()[several].view(np.uint64) for c in ("fp", "more")]
             root = np.arange(len(node))
-            for fp, more in (halves, halves[::-1]):
-                code = np.stack([(group * len(parts) + i) * wide + (fp >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for i, (s, w) in enumerate(parts)], axis=1)
+            crowd = np.flatnonzero(own >= 0)
+            for at in np.split(crowd, np.flatnonzero(np.diff(group[crowd])) + 1) if len(crowd) else []:
+                root[at] = at[crowd_roots(*(x[at] for x in halves), own[at], total)]
+            rest = np.flatnonzero(own < 0)
+            for fp, more in (halves, halves[::-1]) if len(rest) else ():
+                code = np.stack([(group[rest] * len(parts) + i) * wide + (fp[rest] >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for i, (s, w) in enumerate(parts)], axis=1)
                 order = np.argsort(code, axis=None, kind="stable")  # runs of one group, segment and value
-                at, first, code = order // len(parts), order % len(parts), code.ravel()[order]
+                at, first, code = rest[order // len(parts)], order % len(parts), code.ravel()[order]
                 top = ring_roots(fp[at], more[at], code, first, distance, total)
                 linked = np.flatnonzero(top != np.arange(len(top)))
                 root = joined(root, at[linked], at[top[linked]])
@@ -284,20 +312,24 @@ def _gathered(total: int):
 
 
 def gathered_links(distinct: DataFrame, total: int = STAGE_TOTAL, block: int = BLOCK) -> DataFrame:
-    """u, v: links between fingerprints (node, fp, more, mins) that share a least shingle and differ in at most ``total`` of 128 bits."""
+    """u, v: links that join all fingerprints (node, fp, more, mins) that share a least shingle and differ in at most ``total`` of 128 bits into their components.
+
+    The fingerprints of a key that over ``block`` share are cut into blocks;
+    every block has a cell of its own (``own`` holds the block, elsewhere -1)
+    and one with each other block, where only pairs across are checked.
+    """
     n = 2 * shuffle_partitions(distinct.sparkSession)
-    keyed = distinct.select("node", "fp", "more", "mins", F.posexplode("mins").alias("order", "least")).withColumn("key", F.xxhash64("order", "least"))
-    large = materialise(keyed.groupBy("key").count().filter(F.col("count") > block).select("key"), "large")
+    keyed = distinct.select("node", "fp", "more", F.posexplode("mins").alias("order", "least")).withColumn("key", F.xxhash64("order", "least"))
+    sizes = keyed.groupBy("key").count().filter(F.col("count") > block)
+    large = materialise(sizes.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
     columns = ["node", "fp", "more", "key"]
     if large.isEmpty():
-        placed = keyed.select(*columns, F.lit(0).cast("long").alias("cell"))
+        placed = keyed.select(*columns, F.lit(-1).alias("own"), F.lit(0).cast("long").alias("cell"))
     else:
-        others = F.filter(F.transform("mins", lambda x, i: F.xxhash64("key", i, x)), lambda x: x != F.xxhash64("key", "order", "least"))
-        deeper = keyed.join(large, "key", "left_semi").select("node", "fp", "more", F.explode(others).alias("key"))
-        crowded = deeper.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-        cut = deeper.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(*columns, F.explode(_cells_of("node")).alias("cell"))
-        placed = keyed.join(large, "key", "left_anti").select(*columns, F.lit(0).cast("long").alias("cell")).unionByName(cut)
-    return placed.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidied(_gathered(total)), "u long, v long")
+        sized = keyed.join(large, "key", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(-1)))
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least("own", other).cast("long") * F.col("blocks") + F.greatest("own", other))
+        placed = sized.select(*columns, "own", F.explode(F.coalesce(cells, F.array(F.lit(0).cast("long")))).alias("cell"))
+    return placed.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "own").mapInArrow(tidied(_gathered(total)), "u long, v long")
 
 
 def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:

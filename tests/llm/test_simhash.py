@@ -196,3 +196,53 @@ def test_keys_of_a_fingerprint_do_not_grow_with_their_number(spark):
         rows = spark.range(n).selectExpr("xxhash64(id) AS node", "xxhash64(id, 1) AS fp", "xxhash64(id, 2) AS more", "transform(sequence(3, 8), x -> xxhash64(id, x)) AS mins")
         assert simhash.gathered_links(rows).count() == 0
         assert rows.selectExpr("explode(mins)").count() == simhash.MINS * n
+
+
+def test_least_shingle_that_is_crowded_and_the_only_one_shared_still_links(spark):
+    """Links through the crowded key alone, in one cell, in a few blocks and in many, against brute force."""
+    r = random.Random(21)
+    rows = []
+    for i in range(150):
+        bits = r.getrandbits(128)
+        for flips in (0, r.randint(20, 44)):
+            x = bits ^ sum(1 << b for b in r.sample(range(128), flips))
+            crowd = 7 if i % 5 else 100 + i
+            rows.append((len(rows), x % (1 << 64), x >> 64, [r.getrandbits(60), crowd, *(r.getrandbits(60) for _ in range(simhash.MINS - 2))]))
+    expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3][1] == b[3][1] and ((a[1] ^ b[1]).bit_count() + (a[2] ^ b[2]).bit_count()) <= 32}
+    assert 40 < len(expected) < 110
+    signed = [(n, *(x - (1 << 64) if x >> 63 else x for x in halves), mins) for n, *halves, mins in rows]
+    frame = spark.createDataFrame(signed, "node long, fp long, more long, mins array<long>")
+    for block in (4096, 100, 7):
+        assert {tuple(sorted(x)) for x in simhash.gathered_links(frame, block=block).collect()} == expected, block
+
+
+def test_crowd_roots_equal_brute_force_when_links_are_folded_in(monkeypatch):
+    r = random.Random(22)
+    monkeypatch.setattr(simhash, "PENDING", 5)
+    values = [x ^ sum(1 << b for b in r.sample(range(128), r.randint(0, 20))) for x in (r.getrandbits(128) for _ in range(8)) for _ in range(15)]
+    r.shuffle(values)
+    fp, more = (np.array(x, np.uint64) for x in ([v % (1 << 64) for v in values], [v >> 64 for v in values]))
+    got = simhash.crowd_roots(fp, more, np.zeros(len(values), np.int64), 32)
+    assert dict(enumerate(got.tolist())) == brute(dict(enumerate(values)), 32)
+    cut = 70
+    links = [(a, b) for a in range(cut) for b in range(cut, len(values)) if (values[a] ^ values[b]).bit_count() <= 32]
+    across = simhash.crowd_roots(fp, more, np.repeat([0, 1], [cut, len(values) - cut]), 32)
+    expected = simhash.joined(np.arange(len(values)), *np.array(links).T)
+    assert len(links) > 100 and across.tolist() == expected.tolist()
+
+
+def test_near_copies_that_share_only_the_least_shingle_of_a_crowd_are_joined(spark):
+    """Each pair (similarity 0.85) agrees in one least shingle, which the passage gives to all the texts."""
+    texts = []
+    for seed in (3277, 20258, 27841, 37872):
+        r = random.Random(seed)
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        text = own[:30] + [f"p{i}" for i in range(60)] + own[30:]
+        changed = ["other" if k in (3, 100) else x for k, x in enumerate(text)][:-1]
+        texts += [" ".join(text), " ".join(changed)]
+    least = simhash.fingerprints([x.encode() for x in texts], 5, wide=True, mins=True)[:, 2:]
+    assert [int((least[i] == least[i + 1]).sum()) for i in range(0, 8, 2)] == [1] * 4 and len(set(least[:, 5].tolist())) == 1
+    assert all(jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 8, 2))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4096, 6, 2):
+        assert sorted(x["doc_id"] for x in simhash.near_dedup(frame, block=block).collect()) == [0, 2, 4, 6], block
