@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def sql_trim(c: Column) -> Column:
+    """Strip spaces of any width, but no tabs or line ends, as trim() of DuckDB does."""
+    return F.regexp_replace(F.regexp_replace(c, r"^\p{Zs}+", ""), r"\p{Zs}+\z", "")
+
+
 def match_form(c: Column) -> Column:
     """Text for answer matching: white space and dots deleted, case kept."""
     return F.regexp_replace(c, r"(?U)[\s.]+", "")
@@ -94,9 +101,9 @@ def free(answers: Column, text: Column) -> Column:
     return F.filter(answers, lambda a: ~F.contains(text, a))
 
 
-def clean_answers(answers: Column) -> Column:
+def clean_answers(answers: Column, strip: Callable[[Column], Column] = py_strip) -> Column:
     """Trimmed, without blanks and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(answers, F.array().cast("array<string>")), py_strip), lambda a: a.isNotNull() & (a != "")))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(answers, F.array().cast("array<string>")), lambda a: strip(a)), lambda a: a.isNotNull() & (a != "")))
 
 
 def valid_spans(text: Column, spans: Column) -> Column:

@@ -51,11 +51,11 @@ def documents_of(df: DataFrame, doc_id: Column, contents: Column, order: Column,
     return df.select(doc_id.cast("string").alias("doc_id"), contents.alias("contents"), (_meta(**meta) if meta else F.lit("{}")).alias("metadata"), order.cast("long").alias("doc_ord"))
 
 
-def queries_of(df: DataFrame, query_id: Column, contents: Column, relevant: Column, order: Column, extractive: Column | None = None, free: Column | None = None, **meta) -> DataFrame:
+def queries_of(df: DataFrame, query_id: Column, contents: Column, relevant: Column, order: Column, extractive: Column | None = None, free: Column | None = None, strip: Callable[[Column], Column] = T.py_strip, **meta) -> DataFrame:
     null = F.lit(None).cast("array<string>")
     return df.select(
-        query_id.cast("string").alias("query_id"), contents.alias("contents"), relevant.alias("relevant"), (null if extractive is None else T.clean_answers(extractive)).alias("extractive_span_text_answer"),
-        (null if free is None else T.clean_answers(free)).alias("free_text_answer"), (_meta(**meta) if meta else F.lit("{}")).alias("metadata"), order.cast("long").alias("query_ord"),
+        query_id.cast("string").alias("query_id"), contents.alias("contents"), relevant.alias("relevant"), (null if extractive is None else T.clean_answers(extractive, strip)).alias("extractive_span_text_answer"),
+        (null if free is None else T.clean_answers(free, strip)).alias("free_text_answer"), (_meta(**meta) if meta else F.lit("{}")).alias("metadata"), order.cast("long").alias("query_ord"),
     )
 
 
@@ -135,17 +135,17 @@ def gutenqa_concat(chunks: DataFrame, questions: DataFrame) -> Artifacts:
     )
 
 
-def crud(rows: DataFrame, fields: tuple = ("news1", "news2", "news3")) -> Artifacts:
-    """rows: ord, id, question, answers, and up to three document fields.  Documents by content, with their occurrences."""
+def crud(rows: DataFrame, fields: tuple = ("news1", "news2", "news3"), strip: Callable[[Column], Column] = T.py_strip, strip_answers: Callable[[Column], Column] = T.py_strip) -> Artifacts:
+    """rows: ord, id, question, answers, and up to three document fields.  Documents by content, with their occurrences; what ``strip`` leaves empty is none."""
     used = [F.col(f) for f in fields if f in rows.columns]
-    texts = F.filter(F.array(*used), lambda x: x.isNotNull() & (T.py_strip(x) != ""))
+    texts = F.filter(F.array(*used), lambda x: x.isNotNull() & (strip(x) != ""))
     each = rows.select("ord", F.posexplode(texts).alias("p", "contents"))
     docs = each.groupBy("contents").agg(F.min(F.struct("ord", "p")).alias("first_ord"), F.count(F.lit(1)).alias("occurrences")).withColumn("content_id", F.substring(F.md5("contents"), 1, 16))
     docs = collision_free(docs)
     own = each.join(docs.select("contents", "content_id"), "contents").groupBy("ord").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "content_id"))), lambda x: x["content_id"])).alias("relevant"))
     return (
         documents_of(docs, F.col("content_id"), F.col("contents"), F.col("first_ord.ord") * 8 + F.col("first_ord.p"), occurrences=F.col("occurrences")),
-        queries_of(rows.join(own, "ord"), F.col("id"), F.col("question"), F.col("relevant"), F.col("ord"), None, F.col("answers")),
+        queries_of(rows.join(own, "ord"), F.col("id"), F.col("question"), F.col("relevant"), F.col("ord"), None, F.col("answers"), strip_answers),
     )
 
 
