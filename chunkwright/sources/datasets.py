@@ -88,10 +88,10 @@ def squad(rows: DataFrame, skip_impossible: bool = True, sample: int | None = No
     return documents_of(docs, F.col("title"), F.col("contents"), F.col("ord")), queries
 
 
-def qasper(papers: DataFrame) -> Artifacts:
-    """papers: ord, id, title, abstract, sections array<struct<name, paragraphs array<string>>>, captions array<string>, qas array<struct<question, question_id, answers array<struct<free, spans array<string>, yes_no, unanswerable>>>>."""
-    body = F.transform("sections", lambda s: F.array_join(F.filter(F.concat(F.array(s["name"]), s["paragraphs"]), lambda x: x.isNotNull() & (T.py_strip(x) != "")), "\n"))
-    text = F.array_join(F.filter(F.concat(F.array("title", "abstract"), body, F.coalesce("captions", _strings())), lambda x: x.isNotNull() & (T.py_strip(x) != "")), "\n\n")
+def qasper(papers: DataFrame, strip: Callable[[Column], Column] = T.py_strip) -> Artifacts:
+    """papers: ord, id, title, abstract, sections array<struct<name, paragraphs array<string>>>, captions array<string>, qas array<struct<question, question_id, answers array<struct<free, spans array<string>, yes_no, unanswerable>>>>.  What ``strip`` leaves empty is left out."""
+    body = F.transform("sections", lambda s: F.array_join(F.filter(F.concat(F.array(s["name"]), s["paragraphs"]), lambda x: x.isNotNull() & (strip(x) != "")), "\n"))
+    text = F.array_join(F.filter(F.concat(F.array("title", "abstract"), body, F.coalesce("captions", _strings())), lambda x: x.isNotNull() & (strip(x) != "")), "\n\n")
     rendered = papers.withColumn("body", text)
     q = rendered.select("ord", "id", "body", F.posexplode("qas").alias("p", "q"))
     answers = F.flatten(F.transform("q.answers", lambda a: F.coalesce(a["spans"], _strings())))
@@ -99,7 +99,7 @@ def qasper(papers: DataFrame) -> Artifacts:
     every = F.concat(answers, F.filter(stated, lambda a: a.isNotNull()))
     return (
         documents_of(rendered, F.col("id"), F.col("body"), F.col("ord"), title=F.col("title"), sections=F.size("sections")),
-        queries_of(q, F.col("q.question_id"), F.col("q.question"), F.array("id"), F.col("ord") * 1000 + F.col("p"), T.extractive(every, F.col("body")), T.free(every, F.col("body"))),
+        queries_of(q, F.col("q.question_id"), F.col("q.question"), F.array("id"), F.col("ord") * 1000 + F.col("p"), T.extractive(every, F.col("body")), T.free(every, F.col("body")), strip),
     )
 
 

@@ -21,3 +21,10 @@ def differing(spark, d, name, table):
 def test_documents_of_odd_space(spark, tables, name):
     found, rows = differing(spark, tables(documents=DOCS), name, "documents")
     assert found == [] and rows > 5
+
+
+@pytest.mark.parametrize("name", ["d8_qasper_documents", "d8_qasper_queries"])
+def test_turns_of_odd_space(spark, tables, name):
+    turns = [(i, 0, "user", t) for i, t in enumerate(ODD)] + [(i, 1, "assistant", t[::-1]) for i, t in enumerate(ODD)] + [(90, 0, "user", "Nineteen characters\nand more")]
+    found, rows = differing(spark, tables(conversations=(turns, "conv_id long, turn long, role string, text string")), name, "conversations")
+    assert found == [] and rows == len(ODD) + 1
