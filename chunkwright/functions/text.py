@@ -66,9 +66,9 @@ def title_and_text(title: Column, text: Column) -> Column:
     return py_strip(F.when(t == "", b).otherwise(F.concat(t, F.lit("\n\n"), b)))
 
 
-def preview(c: Column, n: int) -> Column:
+def preview(c: Column, n: int, strip: Callable[[Column], Column] = py_strip) -> Column:
     """One line, at most n characters, with an ellipsis where cut."""
-    line = py_strip(F.regexp_replace(c, "\n", " "))
+    line = strip(F.regexp_replace(c, "\n", " "))
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
 
 

@@ -17,7 +17,7 @@ def differing(spark, d, name, table):
     return sorted(map(repr, {*map(tuple, got.collect())} ^ {*wanted})), len(wanted)
 
 
-@pytest.mark.parametrize("name", ["d12_crud_documents", "d12_crud_queries"])
+@pytest.mark.parametrize("name", ["d12_crud_documents", "d12_crud_queries", "p12_previews"])
 def test_documents_of_odd_space(spark, tables, name):
     found, rows = differing(spark, tables(documents=DOCS), name, "documents")
     assert found == [] and rows > 5
