@@ -2,9 +2,11 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
+from chunkwright.operators import chunkers
 
 
 def nodes(plan):
@@ -42,3 +44,35 @@ def test_metrics_of_labels_equal_sql(spark, tables, name):
     got = driver.queries()[name](spark, d)
     wanted = con.execute(f"SELECT {', '.join(got.columns)} FROM ({driver.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(wanted) and wanted
+
+
+class Scan:
+    """Stands for documents, and keeps the function that the workers would run."""
+
+    dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def withColumn(self, *_):
+        return self
+
+
+def test_chunks_leave_in_small_pieces(spark):
+    """A batch of 3,000 documents is not held as chunks at once, and a long document's chunks are not either."""
+    split = []
+    scan = Scan()
+    chunkers.kernel_chunks(scan, lambda t: split.append(t) or [{"text": x} for x in t.split()], "mark int")
+    texts = [f"a{i} b{i} c{i}" for i in range(3000)] + [" ".join(["w" * 1000] * 5000)]
+    given = iter([pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"]), pa.record_batch([pa.array([-1, -2]), pa.array(["x y", None])], names=["doc_id", "text"])])
+    out = scan.run(given)
+    first = next(out)
+    assert len(split) < 1000
+    pieces = [first, *out]
+    assert max(p.num_rows for p in pieces) <= 1024 and max(p.nbytes for p in pieces) < 2e6
+    rows = [(r["doc_id"], r["chunk_index"], r["text"]) for p in pieces for r in p.to_pylist()]
+    assert rows == [(d, i, x) for d, t in [*enumerate(texts), (-1, "x y")] for i, x in enumerate(t.split())]
